@@ -187,7 +187,7 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
     sets = df.select(F.col(id_col).cast("long").alias("id"), word_sets(text).alias("words")).filter(F.size("words") > 0)
     keyed = sets.withColumn("set", F.xxhash64("words"))
     heads = cut(keyed.groupBy("set").agg(F.min(F.struct("id", "words")).alias("h"), F.count("*").alias("copies")).select("set", "h.id", "h.words", "copies"))
-    members = keyed.select("id", "set").join(heads.select("set", F.col("id").alias("class")), "set").select(F.col("id").alias(id_col), "class")
+    members = cut(keyed.select("id", "set").join(heads.select("set", F.col("id").alias("class")), "set").select(F.col("id").alias(id_col), "class"))
     spark = df.sparkSession
     common = spark.sparkContext.broadcast(word_weights(heads, rare))
     k = bands * ROWS

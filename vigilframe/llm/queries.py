@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilframe.llm.mixing import mixture, short_sources, source_sizes
 from vigilframe.llm.neardup import document_pairs, near_duplicate_groups, near_duplicates
+from vigilframe.llm.pairs import pair_defects
 from vigilframe.llm.pieces import long_texts, text_pieces
 from vigilframe.llm.ranking import Score, ideal_point_ranking
 from vigilframe.llm.sampling import categorised, category_report, cell_counts, json_field, label_key, proportional_sample
 from vigilframe.llm.splits import assign_splits, entity_components
-from vigilframe.llm.words import words
+from vigilframe.llm.tokens import encode_documents, vocabulary
+from vigilframe.llm.words import plain_source, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -165,3 +168,46 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_groups")
 def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(*_near(spark, d))
+
+
+# Problem 8
+
+
+@query("p8_ids")
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_documents(table(spark, d, "documents"), "doc_id", "text", vocabulary("byte_bpe_50k"))
+
+
+# Problem 9
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = encode_documents(table(spark, d, "documents"), "doc_id", "text", vocabulary("byte_bpe_50k"), keep=["source"], counts=True)
+    return docs.withColumn("source", plain_source(F.col("source")))
+
+
+def _mix_targets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mix_targets")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return short_sources(*source_sizes(_sized(spark, d), _mix_targets(spark, d)))
+
+
+@query("p9_mixture")
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(_sized(spark, d), _mix_targets(spark, d), "doc_id")[0]
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(_sized(spark, d), _mix_targets(spark, d), "doc_id")[1]
+
+
+# Problem 4
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects(table(spark, d, "ablation"), "record_id", "nl_query", "hypothesis", "reference")
