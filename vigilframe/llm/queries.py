@@ -14,6 +14,7 @@ from vigilframe.llm.pieces import long_texts, text_pieces
 from vigilframe.llm.ranking import Score, ideal_point_ranking
 from vigilframe.llm.sampling import categorised, category_report, cell_counts, json_field, label_key, proportional_sample
 from vigilframe.llm.splits import assign_splits, entity_components
+from vigilframe.llm.subjects import document_subjects
 from vigilframe.llm.tokens import encode_documents, vocabulary
 from vigilframe.llm.words import plain_source, words
 
@@ -211,3 +212,21 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects(table(spark, d, "ablation"), "record_id", "nl_query", "hypothesis", "reference")
+
+
+# Problem 10
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("source", plain_source(F.col("source")))
+    return document_subjects(docs, table(spark, d, "subject_labels"), table(spark, d, "subjects"), "doc_id", "text", "source")
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+@query("p10_composition")
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.round(F.avg("posterior"), 6).alias("mean_posterior"))
