@@ -8,7 +8,9 @@ Darts: every word owns a fixed random stream of darts (rank, height, coordinate)
 rank.  A text throws the darts of its words whose height is under the word's weight, up to a rank at
 which it expects k ln k + 2k of them, and keeps the first dart of each of k coordinates; a text that
 misses a coordinate goes on to higher ranks.  Two texts have the same first dart with a probability
-equal to their weighted similarity.  Bands of two coordinates are joined.  Each banded row carries a
+equal to their weighted similarity.  Bands of two coordinates are joined.  Texts made
+almost only of common words, whose likeness the weights would not show, are also signed with equal
+weights, in bands of four.  Each banded row carries a
 small bitmap of its words from which a lower bound of the difference follows, so that a pair goes on
 only if it may reach the threshold; the exact similarity of the word sets decides at the end.
 """
@@ -29,6 +31,10 @@ from vigilframe.llm.splits import connected_components
 from vigilframe.llm.words import words
 
 BANDS, ROWS = 16, 2
+PLAIN_BANDS, PLAIN_ROWS = 40, 4
+#: Texts with a smaller share of words of at least RARE_WEIGHT are also signed with equal weights.  Two texts with the
+#: same common words and no other in common reach a similarity of 0.6 only below a share of a quarter.
+RARE_WEIGHT, RARE_SHARE = 0.25, 0.25
 #: A word in a smaller share of the texts has full weight.  Only more common ones are sent to the workers: at most words per text / RARE.
 RARE = 1e-5
 LEAST_WEIGHT = 1 / 512
@@ -127,13 +133,13 @@ def word_sets(text: Column) -> Column:
 
 
 def word_weights(sets: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.ndarray]:
-    """Words in at least the share ``rare`` of all texts, sorted, and their weights.  sets: copies, words."""
-    n = sets.agg(F.sum("copies")).first()[0] or 0
-    counts = sets.select("copies", F.explode("words").alias("w")).groupBy("w").agg(F.sum("copies").alias("df"))
+    """Words in at least the share ``rare`` of all different texts, sorted, and their weights: 1 for a word of one text, falling with its share."""
+    n = sets.count()
+    counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     common = counts.filter((F.col("df") >= max(2.0, n * rare))).toArrow()
     word = common.column("w").to_numpy()
     share = common.column("df").to_numpy() / max(n, 1)
-    weight = np.clip((np.log(1 / share) / math.log(1 / rare)) ** 3, LEAST_WEIGHT, 1.0) if len(word) else np.zeros(0)
+    weight = np.clip((np.log(1 / share) / math.log(max(min(1 / rare, n), 2))) ** 3, LEAST_WEIGHT, 1.0) if len(word) else np.zeros(0)
     order = np.argsort(word)
     return word[order], weight[order]
 
@@ -186,11 +192,18 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
     """
     sets = df.select(F.col(id_col).cast("long").alias("id"), word_sets(text).alias("words")).filter(F.size("words") > 0)
     keyed = sets.withColumn("set", F.xxhash64("words"))
-    heads = cut(keyed.groupBy("set").agg(F.min(F.struct("id", "words")).alias("h"), F.count("*").alias("copies")).select("set", "h.id", "h.words", "copies"))
+    heads = cut(keyed.groupBy("set").agg(F.min(F.struct("id", "words")).alias("h")).select("set", "h.id", "h.words"))
     members = cut(keyed.select("id", "set").join(heads.select("set", F.col("id").alias("class")), "set").select(F.col("id").alias(id_col), "class"))
     spark = df.sparkSession
     common = spark.sparkContext.broadcast(word_weights(heads, rare))
-    k = bands * ROWS
+
+    def rows(ids, m0, m1, first, bands, kind) -> pa.RecordBatch:
+        key = np.full((len(ids), bands), kind, np.uint64)
+        per = first.shape[1] // bands
+        for r in range(per):
+            key = _mix(key + first[:, r::per] + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+        wide = lambda x: pa.array(np.repeat(x.view(np.int64), bands))
+        return pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), wide(ids), wide(m0), wide(m1)], names=["key", "id", "m0", "m1"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weight = common.value
@@ -206,13 +219,14 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
                     place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                     same = known[place] == tokens
                     w[same] = weight[place[same]]
-                first = signatures(offsets, tokens, w, k)
                 m0, m1 = _bitmap(offsets, tokens)
-                key = np.zeros((len(ids), bands), np.uint64)
-                for r in range(ROWS):
-                    key = _mix(key + first[:, r::ROWS] + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
-                wide = lambda x: pa.array(np.repeat(x.view(np.int64), bands))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), wide(ids), wide(m0), wide(m1)], names=["key", "id", "m0", "m1"])
+                yield rows(ids, m0, m1, signatures(offsets, tokens, w, bands * ROWS), bands, 0)
+                plain = np.nonzero(np.add.reduceat(w >= RARE_WEIGHT, offsets[:-1], dtype=np.int64) < RARE_SHARE * np.diff(offsets))[0]
+                if len(plain):
+                    own = np.concatenate([np.arange(offsets[x], offsets[x + 1]) for x in plain])
+                    short = np.concatenate(([0], np.cumsum(np.diff(offsets)[plain])))
+                    equal = signatures(short, tokens[own], np.ones(len(own)), PLAIN_BANDS * PLAIN_ROWS)
+                    yield rows(ids[plain], m0[plain], m1[plain], equal, PLAIN_BANDS, 1)
 
     banded = heads.select("id", "words").mapInArrow(sign, "key long, id long, m0 long, m1 long").repartition("key").sortWithinPartitions("key")
 

@@ -31,9 +31,9 @@ _PLACEHOLDERS = frozenset("none null nil na tbd todo undefined nan empty unknown
 # Word lists that tell languages apart: frequent words that English doesn't have.
 _FUNCTION_WORDS = {
     "de": "der die das und ist nicht ein eine wird werden für mit auf von dem den nach bitte vor hier je über alle zuerst danach",
-    "fr": "le les des une est et pour dans avec qui sur puis par au aux voici avant suivante cette vous requête règle",
-    "es": "el los las una para que por con del está aquí siguiente antes luego primero consulta regla se según",
-    "it": "il gli della dell di che per con una sono prima ecco segue seguente regola nel alla questa usarla",
+    "fr": "le la les des une est et pour dans avec qui sur puis par au aux voici avant suivante cette vous requête règle",
+    "es": "el la los las una para que por con del está aquí siguiente antes luego primero consulta regla se según",
+    "it": "il la gli della dell di che per con una sono prima ecco segue seguente regola nel alla questa usarla",
     "pt": "os uma para que por com não da do ao você seguir segue antes regra pedida consulta verifique quando",
     "nl": "het een van voor met hier niet zijn deze volgende graag eerst en meldt regel wordt zoekopdracht telt",
     "pl": "nie się jest dla oraz proszę według oto ją najpierw poniższe zapytanie reguła i w na do",
@@ -44,12 +44,12 @@ _FUNCTION_WORDS = {
     "vi": "là và của cho các được này trước khi sau đây truy vấn",
 }
 _FOREIGN = {w for ws in _FUNCTION_WORDS.values() for w in ws.split()} - set("i in on to as do no so an is at all per die us we am me he most van along".split())
-_ENGLISH = frozenset("the a an of to in on is are be for with this that it i my not cannot can but so and or per by from than more as at over within when which values had every show find alert before use are were one used here query note sure".split())
+_ENGLISH = frozenset("the of to be for with this that it my not cannot can but and or by from than more over within when which values had every show find alert before use are were one used here query note sure what please".split())
 _REFUSES = re.compile(
     r"\b(?:i|we)(?:'m| am|'re| are)? (?:(?:must|have to|need to|will|would|do|can|could|should)(?: not|n't)?|can't|cannot|won't|unable|not able|not allowed|not permitted|decline|refuse|prefer not)\b|\b(?:unable|not able|not allowed|not permitted) to\b|\bnot possible\b|\bguidelines\b|\bpolic(?:y|ies)\b|\bfalls outside\b|\b(?:decline|refuse)\b|\bnot something i\b|\bagainst my\b",
     re.I,
 )
-_REGRET = re.compile(r"^\W*(?:i'm |i am |we are |we're )?(?:sorry|apologies|unfortunately|regrettably|thanks for asking|thank you for asking|as an? \w+ (?:assistant|model))|^\W*(?:i |my )", re.I)
+_REGRET = re.compile(r"^\W*(?:i'm |i am |we are |we're )?(?:sorry|apologies|unfortunately|regrettably|thanks for asking|thank you for asking|as an? \w+ (?:assistant|model))|^\W*(?:i |i'm |my |it is |this falls )", re.I)
 
 # Shapes of finished stages, by their command.  A literal is L, a number 9 (see ``_mask``).
 _VALUE = r"(?:L|-?9[a-z]{0,2}|\w[\w.\\:/*%-]*)"
@@ -115,8 +115,19 @@ def _head(text: str) -> tuple[int, re.Pattern] | None:
     return None
 
 
-def clauses(masked: str) -> list[tuple[str, bool, bool, bool]]:
-    """The clauses of a masked response in order: text, part of a query, finished, within a comment."""
+def beginnings_of(texts: list[str]) -> frozenset[str]:
+    """What is only the beginning of a word of reference answers, outside literals, or of an answer's first words."""
+    masked = [_mask(t) for t in texts]
+    words = frozenset(w for t in masked for w in re.findall(r"[A-Za-z_]\w*", t))
+    opened = frozenset(t[:k].strip() for t in masked for k in range(2, 40))
+    return (frozenset(w[:k] for w in words for k in range(1, len(w))) | opened) - words
+
+
+def clauses(masked: str, beginnings: frozenset[str] = frozenset()) -> list[tuple[str, bool, bool, bool]]:
+    """The clauses of a masked response in order: text, part of a query, finished, within a comment.
+
+    beginnings: words that are only the beginning of known ones; a query doesn't end with one.
+    """
     found: list[tuple[str, bool, bool, bool]] = []
     body = _INVISIBLE.sub("", masked)
 
@@ -136,7 +147,10 @@ def clauses(masked: str) -> list[tuple[str, bool, bool, bool]]:
     body = re.sub(r"```[a-zA-Z]*[ \t]*(?=\n|$)|```", "", "".join(rest) + body[pos:]).rstrip()
     at = _head(body)
     if at is None:
-        prose(body, False)
+        if body.strip() in beginnings:
+            found.append((body.strip(), True, False, False))
+        else:
+            prose(body, False)
         return found
     prose(body[: at[0]], False)
     query = body[at[0] :]
@@ -153,6 +167,9 @@ def clauses(masked: str) -> list[tuple[str, bool, bool, bool]]:
             word = s.split(None, 1)[0].lower() if s else ""
             shape = _STAGE.get(word)
             done = bool(shape.fullmatch(s.rstrip(";").rstrip())) if shape else False
+        if done and k and k == len(stages) - 1 and beginnings:
+            end = re.search(r"[A-Za-z_]\w*\Z", s)
+            done = not (end and end.group() in beginnings)
         found.append((s, True, done, False))
     for p in after:
         prose(p, False)
@@ -320,9 +337,10 @@ def training_examples(rows: list[tuple[str, str]], seed: int = 5) -> list:
     """Tagged responses made from (question, reference answer)."""
     rng = random.Random(seed)
     made = []
+    beginnings = beginnings_of([r for _, r in rows])
 
     def add(text: str, question: str, tag_prose: int, tag_query: int) -> None:
-        cs = clauses(_mask(text))
+        cs = clauses(_mask(text), beginnings)
         if not cs:
             return
         words = _ALNUM.findall(question.lower())
@@ -339,11 +357,17 @@ def training_examples(rows: list[tuple[str, str]], seed: int = 5) -> list:
             add(text, question, ANSWER, ANSWER)
         add(f"// {question}\n{answer}", question, ANSWER, ANSWER)
         broken = answer[: rng.randint(max(1, len(answer) // 6), max(2, len(answer) - 2))].rstrip()
-        if clauses(_mask(broken)) and not all(c[2] for c in clauses(_mask(broken)) if c[1]):
+        parts = clauses(_mask(broken), beginnings)
+        if parts and not all(c[2] for c in parts if c[1]):
             add(broken, question, ANSWER, UNFINISHED)
             add(f"{remark}\n{broken}", question, ANSWER, UNFINISHED)
             add(broken + " ...", question, ANSWER, UNFINISHED)
-        add(rng.choice(_SEED_REFUSALS), question, REFUSAL, ANSWER)
+        for frame in ("{}", "// {}", "```\n{}\n```", "{} Please ask someone else."):
+            add(frame.format(rng.choice(_SEED_REFUSALS)), question, REFUSAL, ANSWER)
+        # prose that is none of all that
+        add(remark, question, ANSWER, ANSWER)
+        add(rng.choice(rows)[0], "of something else entirely", ANSWER, ANSWER)
+        add(" ".join("".join(rng.choices("bdklmnprst", k=5)) for _ in range(6)), question, ANSWER, ANSWER)
         words = question.split()
         if len(words) > 6:
             drop = rng.randrange(len(words))
@@ -366,8 +390,8 @@ def _unmasked(clause: tuple[str, bool, bool, bool], text: str) -> str:
 class PairTagger:
     """Decides on pairs; responses that are alike but for literals and numbers are tagged once."""
 
-    def __init__(self, field: ChainField) -> None:
-        self.field = field
+    def __init__(self, field: ChainField, beginnings: frozenset[str] = frozenset()) -> None:
+        self.field, self.beginnings = field, beginnings
         self.known: dict[str, str | None] = {}
 
     def defect(self, question: str | None, response: str | None) -> str | None:
@@ -376,7 +400,7 @@ class PairTagger:
         masked = _mask(response)
         if masked in self.known:
             return self.known[masked]
-        cs = clauses(masked)
+        cs = clauses(masked, self.beginnings)
         if not cs:
             return "empty"
         if any(c[1] for c in cs):
@@ -402,11 +426,12 @@ def pair_defects(df: DataFrame, id_col: str, question: str, response: str, refer
     sample = df.select(question, reference).filter(F.col(question).isNotNull() & (F.length(reference) > 20)).orderBy(F.xxhash64(question, reference)).limit(training_rows).collect()
     rows = [(r[0], r[1]) for r in sample] or [("find all events of one user", "")]
     field = ChainField.train(training_examples(rows))
-    shared = df.sparkSession.sparkContext.broadcast((field.weights, field.steps))
+    shared = df.sparkSession.sparkContext.broadcast((field.weights, field.steps, beginnings_of([r for _, r in rows])))
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = PairTagger(ChainField(*shared.value))
+        weights, steps, beginnings = shared.value
+        tagger = PairTagger(ChainField(weights, steps), beginnings)
         for batch in batches:
             found = [tagger.defect(q, r) for q, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             keep = pa.array([f is not None for f in found])

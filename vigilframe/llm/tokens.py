@@ -153,23 +153,23 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, path: str, keep:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 for seq, (text, inside) in enumerate(tool.segments(one.column(len(kept))[0].as_py(), segment)):
-                    yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([seq]), pa.array([inside]), pa.array([text])], names=[*kept, "_seq", "_inside", "_text"])
+                    yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([seq]), pa.array([inside]), pa.array([text])], names=[*kept, "__part_seq", "__part_inside", "__part_text"])
 
     def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, leaf)
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                text, inside = one.column("_text")[0].as_py(), one.column("_inside")[0].as_py()
+                text, inside = one.column("__part_text")[0].as_py(), one.column("__part_inside")[0].as_py()
                 ids = tool.stretch(text.encode()) if inside else tool.encode(text)
-                yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([ids], pa.list_(pa.int32()))], names=[*kept, "_seq", "_inside", "_ids"])
+                yield pa.RecordBatch.from_arrays([*one.columns[:-1], pa.array([ids], pa.list_(pa.int32()))], names=[*kept, "__part_seq", "__part_inside", "__part_ids"])
 
     def together(group: pa.Table) -> pa.Table:
         tool = encoder(path, leaf)
-        group = group.sort_by("_seq")
+        group = group.sort_by("__part_seq")
         done: list[np.ndarray] = []
         run: list[int] = []  # the part that may still change: one unsplit stretch, or the last segment
-        for ids, inside in zip(group.column("_ids").to_pylist(), group.column("_inside").to_pylist()):
+        for ids, inside in zip(group.column("__part_ids").to_pylist(), group.column("__part_inside").to_pylist()):
             if inside:
                 run = tool.join(run, ids)
             else:
@@ -180,7 +180,7 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, path: str, keep:
         out = pa.array([len(ids)], pa.int64()) if counts else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, pa.int32()))
         return pa.Table.from_arrays([*(first.column(c) for c in kept), out], names=names)
 
-    inner = [T.StructField("_seq", T.LongType()), T.StructField("_inside", T.BooleanType())]
-    long = df.filter(F.length(text_col) > segment).select(*kept, text_col).mapInArrow(parts, T.StructType([*fields, *inner, T.StructField("_text", T.StringType())]))
-    coded = long.repartition(id_col, "_seq").mapInArrow(encode_parts, T.StructType([*fields, *inner, T.StructField("_ids", T.ArrayType(T.IntegerType()))]))
+    inner = [T.StructField("__part_seq", T.LongType()), T.StructField("__part_inside", T.BooleanType())]
+    long = df.filter(F.length(text_col) > segment).select(*kept, text_col).mapInArrow(parts, T.StructType([*fields, *inner, T.StructField("__part_text", T.StringType())]))
+    coded = long.repartition(id_col, "__part_seq").mapInArrow(encode_parts, T.StructType([*fields, *inner, T.StructField("__part_ids", T.ArrayType(T.IntegerType()))]))
     return short.unionByName(coded.groupBy(id_col).applyInArrow(together, T.StructType([*fields, result])))
