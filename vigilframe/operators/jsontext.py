@@ -48,7 +48,7 @@ def _decode_deep(text: str) -> Any:
         pos = m.end()
         mark, string, word = m.groups()
         if mark in ("]", "}"):
-            if not stack or expect == "value" or (mark == "]") != isinstance(here, list):
+            if not stack or expect not in ("next", "value?", "key?") or (mark == "]") != isinstance(here, list):
                 raise ValueError("unbalanced")
             here, key = stack.pop()
             expect = "next"

@@ -3,9 +3,9 @@
 A document is cut into *stripes*, one for each schema path (list indices left out).  A stripe holds,
 for every slot of its path, the record number, the repetition level (which list the slot continues)
 and the definition level (how much of the slot is there).  As in column stores, a slot that is missing
-still has an entry, so positions can be rebuilt from the repetition levels alone: the index in the
-list at level k is the number of entries with that level since the last entry of a lower one.
-Tables come out of the stripes by vector operations; the document is not walked again.
+still has an entry, so positions are rebuilt from the repetition levels: the index in the list at level
+k is the number of entries since the last one of a lower level, which is also where the next slot above
+begins.  Tables come out of the stripes by vector operations; the document is not walked again.
 
 The schema may be recursive: a branch may have itself as child, to any depth.
 """
@@ -49,30 +49,20 @@ class Branch:
 @dataclass
 class Stripe:
     branch: Branch
-    segments: tuple[str, ...]  # texts around the indices of a path
-    record: list[int]
-    repetition: list[int]
-    value: list[Any]  # the slot's content while its children are cut; None below the last definition level
+    level: int  # lists on the way to the slot
+    record: np.ndarray
+    repetition: np.ndarray
+    value: list[Any]  # the slot's content; None below the last definition level
+    path: pa.Array
+    parent: pa.Array  # the path of the slot above
 
-    @property
-    def lists(self) -> int:
-        return len(self.segments) - 1
 
-
-def _roots(branches: list[Branch], documents: list[Any]) -> Iterator[Stripe]:
-    rows = [(i, d) for i, d in enumerate(documents) if isinstance(d, dict)]
-    top = Stripe(Branch("", "object", lambda _: None, branches), ("",), [i for i, _ in rows], [0] * len(rows), [d for _, d in rows])
-    yield from _below(top)
-
-
-def _below(parent: Stripe) -> Iterator[Stripe]:
+def _children(parent: Stripe) -> Iterator[Stripe]:
     for child in parent.branch.children:
         held = [v.get(child.plain) if isinstance(v, dict) else None for v in parent.value]
         held = [None if v is None else inner(v) for v in held]
-        at = parent.segments[:-1] + (parent.segments[-1] + ("." if parent.segments[-1] else "") + child.key,)
         if child.shape != "list":
-            own = [v if isinstance(v, dict) else None for v in held]
-            yield from _stripe(parent, child, at, own, None)
+            yield from _objects(parent, child, [v if isinstance(v, dict) else None for v in held])
         if child.shape != "object":
             if child.shape == "list":
                 lists = [v if isinstance(v, list) else None if v is None else [v] for v in held]
@@ -80,87 +70,76 @@ def _below(parent: Stripe) -> Iterator[Stripe]:
                 lists = [v if isinstance(v, list) else None for v in held]
             if child.objects:
                 lists = [v and [inner(x) for x in v] for v in lists]
-            yield from _stripe(parent, child, at, None, lists)
+            yield from _lists(parent, child, lists)
 
 
-def _stripe(parent: Stripe, child: Branch, at: tuple[str, ...], own: list | None, lists: list | None) -> Iterator[Stripe]:
-    record: list[int] = []
-    repetition: list[int] = []
-    value: list[Any] = []
-    live = {r for r, v in zip(parent.record, own if lists is None else lists) if v}
-    if not live:
-        return
-    if lists is None:
-        for r, p, v in zip(parent.record, parent.repetition, own):
-            if r in live:
-                record.append(r)
-                repetition.append(p)
-                value.append(v)
-        stripe = Stripe(child, at, record, repetition, value)
-    else:
-        level = len(at)
-        for r, p, v in zip(parent.record, parent.repetition, lists):
-            if r not in live:
-                continue
-            if not v:
-                record.append(r)
-                repetition.append(p)
-                value.append(None)
-                continue
-            for k, x in enumerate(v):
-                record.append(r)
-                repetition.append(level if k else p)
-                value.append(x)
-        stripe = Stripe(child, at[:-1] + (at[-1] + "[", "]"), record, repetition, value)
-    yield stripe
-    if child.children:
-        yield from _below(stripe)
-
-
-def ordinals(repetition: np.ndarray, lists: int) -> list[np.ndarray]:
-    """The index within the list of each level 1..lists, from the repetition levels alone."""
-    at = np.arange(len(repetition))
-    found = []
-    for level in range(1, lists + 1):
-        count = np.cumsum(repetition == level)
-        start = np.maximum.accumulate(np.where(repetition < level, at, 0))
-        found.append(count - count[start])
-    return found
+def _live(parent: Stripe, content: list) -> np.ndarray:
+    """The parent's entries of the records that have anything here; the runs of nulls of the others are left out."""
+    filled = np.fromiter((bool(v) for v in content), bool, len(content))
+    return np.nonzero(np.isin(parent.record, parent.record[filled]))[0] if filled.any() else np.zeros(0, np.int64)
 
 
-def _paths(segments: tuple[str, ...], index: list[pa.Array], rows: int) -> pa.Array:
-    if len(segments) == 1:
-        return pa.array([segments[0]]).take(pa.array(np.zeros(rows, np.int32)))
-    parts: list[Any] = []
-    for k, text in enumerate(segments):
-        parts.append(pa.scalar(text, pa.string()))
-        if k < len(index):
-            parts.append(index[k])
-    return pc.binary_join_element_wise(*parts, "")
+def _join(parent: pa.Array, *texts: Any) -> pa.Array:
+    dot = pc.if_else(pc.equal(parent, ""), "", ".")
+    return pc.binary_join_element_wise(parent, dot, *texts, "")
 
 
-def _parent(segments: tuple[str, ...]) -> tuple[str, ...]:
-    """The path of the slot above, as segments.  A list at the top of a branch has no slot of its own."""
-    *rest, last = segments
-    if last == "]":
-        rest, last = rest[:-1], rest[-1][:-1]
-    return tuple(rest) + (last.rpartition(".")[0],)
+def _objects(parent: Stripe, child: Branch, own: list) -> Iterator[Stripe]:
+    at = _live(parent, own)
+    if len(at):
+        up = parent.path.take(pa.array(at))
+        yield Stripe(child, parent.level, parent.record[at], parent.repetition[at], [own[k] for k in at], _join(up, child.key), up)
+
+
+def _lists(parent: Stripe, child: Branch, lists: list) -> Iterator[Stripe]:
+    at = _live(parent, lists)
+    if not len(at):
+        return
+    level = parent.level + 1
+    value: list[Any] = []
+    repetition: list[int] = []
+    for k in at:
+        own = lists[k]
+        if own:
+            value += own
+            repetition.append(parent.repetition[k])
+            repetition += [level] * (len(own) - 1)
+        else:
+            value.append(None)
+            repetition.append(parent.repetition[k])
+    levels = np.array(repetition, np.int32)
+    above = at[ordinal_above(levels, level)]
+    up = parent.path.take(pa.array(above))
+    yield Stripe(child, level, parent.record[above], levels, value, _join(up, child.key + "[", pc.cast(pa.array(ordinal_in_list(levels, level)), pa.string()), "]"), up)
+
+
+def ordinal_in_list(repetition: np.ndarray, level: int) -> np.ndarray:
+    """The index of each entry in its list at ``level``: entries since the last one that began a list."""
+    at = np.arange(len(repetition))
+    return at - np.maximum.accumulate(np.where(repetition < level, at, 0))
+
+
+def ordinal_above(repetition: np.ndarray, level: int) -> np.ndarray:
+    """The number of the slot above, to whose list at ``level`` each entry belongs."""
+    return np.cumsum(repetition < level) - 1
 
 
 def tables(branches: list[Branch], documents: list[Any], values: bool = False) -> Iterator[tuple[np.ndarray, list[str], pa.Array, pa.Array, list[str | None] | None]]:
     """For every stripe: record numbers, node names, paths, parents' paths and (if asked) the scalars as JSON text."""
-    for s in _roots(branches, documents):
+    rows = [(i, d) for i, d in enumerate(documents) if isinstance(d, dict)]
+    none = pa.array([""] * len(rows), pa.string())
+    top = Branch("", "object", lambda _: None, branches)
+    waiting = [Stripe(top, 0, np.array([i for i, _ in rows], np.int64), np.zeros(len(rows), np.int32), [d for _, d in rows], none, none)]
+    while waiting:
+        s = waiting.pop()
+        waiting.extend(_children(s))
         name = [None if v is None else s.branch.node(v) for v in s.value]
-        keep = np.array([n is not None for n in name], bool)
+        keep = np.fromiter((n is not None for n in name), bool, len(name))
         if not keep.any():
             continue
-        text = [pc.cast(pa.array(o[keep]), pa.string()) for o in ordinals(np.array(s.repetition, np.int32), s.lists)]
-        rows = int(keep.sum())
-        up = _parent(s.segments)
-        scalars = None
-        if values:
-            scalars = [_scalars(v) for v, k in zip(s.value, keep) if k]
-        yield np.array(s.record)[keep], [n for n in name if n is not None], _paths(s.segments, text, rows), _paths(up, text[: len(up) - 1], rows), scalars
+        mask = pa.array(keep)
+        scalars = [_scalars(v) for v, k in zip(s.value, keep) if k] if values else None
+        yield s.record[keep], [n for n in name if n is not None], s.path.filter(mask), s.parent.filter(mask), scalars
 
 
 def _scalars(value: Any) -> str:
