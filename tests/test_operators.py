@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from vigilframe import core_queries
 from vigilframe.dialects.checking import check, clean_reply, suggestion
-from vigilframe.functions.scores import bleu, combined, common_subsequence, edit_similarity, field_match, grade, query_fields, rouge_l, score_pairs
+from vigilframe.functions.scores import bleu, combined, common_subsequence, edit_distance, edit_similarity, field_match, grade, query_fields, rouge_l, score_pairs
 from vigilframe.functions.text import chunk_id, duration_literal, duration_seconds, normal_query, platform_of_path, sub_technique_ok, technique_ok, unit_chunks
 from vigilframe.operators.commands import in_cidr
 from vigilframe.operators.vectors import hashing_embedding, mmr
@@ -44,11 +44,20 @@ def brute_lcs(a, b):
     return t[-1][-1]
 
 
+def brute_edits(a, b):
+    t = [[i + j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            t[i + 1][j + 1] = min(t[i][j + 1] + 1, t[i + 1][j] + 1, t[i][j] + (a[i] != b[j]))
+    return t[-1][-1]
+
+
 def test_scores():
     rng = random.Random(1)
     for _ in range(300):
         a, b = (rng.choices("abcd", k=rng.randint(0, 14)) for _ in "ab")
         assert common_subsequence(a, b) == brute_lcs(a, b)
+        assert edit_distance(a, b) == brute_edits(a, b)
     assert bleu("a b c d e".split(), "a b c d e".split()) == 1 and bleu(["a"], ["b"]) == 0 and bleu([], ["a"]) == 0
     assert bleu("a b c d".split(), "a b c d e".split()) == round(math.exp(1 - 5 / 4), 6)
     assert rouge_l(["a", "x"], ["a", "y"]) == 0.5 and edit_similarity(["a", "x"], ["a", "y", "z"]) == round(1 / 3, 6) and edit_similarity([], []) == 1

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilframe.durable import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -360,7 +364,7 @@ def text_complexity(spark: SparkSession, d: str) -> DataFrame:
 def word_chunks(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.functions.text import unit_chunks
 
-    return unit_chunks(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "chunk_idx", "n_units", F.md5("chunk").alias("digest"))
+    return unit_chunks(spread(table(spark, d, "documents").select("doc_id", "text")), "text").select("doc_id", "chunk_idx", "n_units", F.md5("chunk").alias("digest"))
 
 
 @query("query_ngrams", "WITH t AS (SELECT seed_id, list_filter(regexp_split_to_array(lower(regexp_replace(nl_query, '([|=><!()\\[\\]{},;])', ' \\1 ', 'g')), '\\s+'), lambda w: w <> '') AS t FROM seed_queries), g AS (SELECT unnest(list_transform(generate_series(1, greatest(len(t) - 1, 0)), lambda i: t[i] || ' ' || t[i + 1])) AS gram FROM t) SELECT gram, count(*) AS n FROM g GROUP BY 1")
@@ -385,7 +389,7 @@ def semantic_scores(spark: SparkSession, d: str) -> DataFrame:
 def static_checks(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.dialects.checking import check
 
-    checked = table(spark, d, "ablation").select("record_id", "platform", check(F.col("platform"), F.col("hypothesis")).alias("c"))
+    checked = spread(table(spark, d, "ablation").select("record_id", "platform", "hypothesis")).select("record_id", "platform", check(F.col("platform"), F.col("hypothesis")).alias("c"))
     return checked.select("record_id", "platform", "c.*")
 
 
@@ -402,7 +406,7 @@ def error_classes(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.dialects.checking import check, classify
     from vigilframe.operators.evaluation import histogram
 
-    rows = table(spark, d, "ablation").withColumn("c", check(F.col("platform"), F.col("hypothesis")))
+    rows = spread(table(spark, d, "ablation").select("platform", "hypothesis", "field_f1", "semantic_score")).withColumn("c", check(F.col("platform"), F.col("hypothesis")))
     rows = rows.withColumn("e", classify(F.col("platform"), F.coalesce("hypothesis", F.lit("")), F.col("c"), F.coalesce("field_f1", F.lit(1.0)), F.coalesce("semantic_score", F.lit(0.0))))
     return histogram(rows, F.col("e.category"), F.col("e.leaf")).select("category", "leaf", "n", "rank")
 
@@ -411,7 +415,7 @@ def error_classes(spark: SparkSession, d: str) -> DataFrame:
 def rendered_queries(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.dialects import render_column
 
-    rendered = table(spark, d, "examples").select("ex_id", render_column(F.col("ir")).alias("q")).filter("q is not null")
+    rendered = spread(table(spark, d, "examples").select("ex_id", "ir")).select("ex_id", render_column(F.col("ir")).alias("q")).filter("q is not null")
     return rendered.select("ex_id", F.explode("q").alias("platform", "text"))
 
 
@@ -540,3 +544,109 @@ def orders_by_region(spark: SparkSession, d: str) -> DataFrame:
     o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
     joined = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.groupBy("r_name", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Taxonomy, replies, parsing
+
+
+@query("classified_questions")
+def classified_questions(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.operators.taxonomy import classify, starter_rules
+
+    seeds = table(spark, d, "seed_queries").select("seed_id", "nl_query", "category")
+    return classify(seeds, "nl_query", starter_rules(spark)).select("seed_id", "tactic", "technique", "sub_technique", "confidence")
+
+
+@query("classified_by_rule", "SELECT seed_id, CASE WHEN regexp_matches(lower(nl_query), 'autostart') THEN 'T1547' END AS technique FROM seed_queries")
+def classified_by_rule(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.operators.taxonomy import RULE_SCHEMA, classify
+
+    rules = spark.createDataFrame([(0, "persistence", "T1547", None, 0.85, False, 0.9, "autostart")], RULE_SCHEMA)
+    return classify(table(spark, d, "seed_queries").select("seed_id", "nl_query"), "nl_query", rules).select("seed_id", "technique")
+
+
+@query("label_problems", "WITH k AS (SELECT technique_id FROM technique_entries GROUP BY 1), x AS (SELECT ex_id, technique_id AS t FROM examples) SELECT ex_id, list_filter([CASE WHEN t IS NULL THEN 'no technique' END, CASE WHEN NOT regexp_matches(t, '^T\\d{4}$') THEN 'malformed technique' END, CASE WHEN regexp_matches(t, '^T\\d{4}$') AND t NOT IN (SELECT technique_id FROM k WHERE technique_id IS NOT NULL) THEN 'unknown technique' END], lambda p: p IS NOT NULL)::VARCHAR AS problems FROM x")
+def label_problems_(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.operators.taxonomy import label_problems
+
+    rows = table(spark, d, "examples").select("ex_id", "technique_id", F.lit(None).cast("string").alias("sub_technique"), F.lit(None).cast("string").alias("tactic"))
+    found = label_problems(rows.withColumnRenamed("technique_id", "technique"), table(spark, d, "technique_entries"), "technique", "sub_technique", "tactic")
+    return found.select("ex_id", F.concat(F.lit("["), F.array_join("problems", ", "), F.lit("]")).alias("problems"))
+
+
+@query("taxonomy_children", "WITH c AS (SELECT DISTINCT parent_id, technique_id FROM technique_entries WHERE parent_id IS NOT NULL) SELECT parent_id, technique_id, row_number() OVER (PARTITION BY parent_id ORDER BY technique_id) AS n FROM c QUALIFY n <= 4")
+def taxonomy_children(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.operators.taxonomy import first_children
+
+    return first_children(table(spark, d, "technique_entries"))
+
+
+@query("techniques_of_tactic", "SELECT entry_id, technique_id FROM technique_entries WHERE list_contains(list_transform(tactic_names, lambda t: replace(replace(lower(trim(t)), ' ', '-'), '_', '-')), 'persistence')")
+def techniques_of_tactic(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.operators.taxonomy import techniques_of
+
+    return techniques_of(table(spark, d, "technique_entries"), "Persistence").select("entry_id", "technique_id")
+
+
+@query("rule_levels", "SELECT record_id, CASE WHEN regexp_matches(hypothesis, '<mitre>') THEN regexp_extract(hypothesis, '<id>\\s*(T\\d{4})', 1) END AS technique FROM ablation WHERE platform = 'wazuh'")
+def rule_levels(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.operators.taxonomy import rule_technique
+
+    return table(spark, d, "ablation").filter("platform = 'wazuh'").select("record_id", rule_technique(F.col("hypothesis")).alias("technique"))
+
+
+@query("validated_documents")
+def validated_documents(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.operators.replies import validated
+
+    return validated(spread(table(spark, d, "examples").select("ex_id", "ir")), "ir").select("ex_id", "error", "summary")
+
+
+@query("message_usage", "SELECT platform, count(*) AS messages, CAST(sum(4 + CASE WHEN length(coalesce(hypothesis, '')) = 0 THEN 0 ELSE greatest(1, length(hypothesis) // 3) END) AS BIGINT) AS tokens FROM ablation GROUP BY 1")
+def message_usage(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.operators.replies import usage
+
+    return usage(table(spark, d, "ablation"), ["platform"], "hypothesis").select("platform", "messages", "tokens")
+
+
+@query("parsed_questions")
+def parsed_questions(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.plans.parser import rule_parser
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(rule_parser(t)))
+
+    return table(spark, d, "seed_queries").select("seed_id", run("nl_query").alias("document"))
+
+
+# Documented recipes
+
+
+@query("recipe_port_scan", "SELECT l_suppkey, l_returnflag, count(DISTINCT l_partkey) AS targets FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) > 50")
+def recipe_port_scan(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count_distinct("l_partkey").alias("targets"))
+    return rows.filter("targets > 50")
+
+
+@query("recipe_beaconing", "SELECT l_suppkey, l_shipmode_like, count(*) AS n FROM (SELECT l_suppkey, l_returnflag || l_linestatus AS l_shipmode_like FROM lineitem) GROUP BY ALL HAVING count(*) > 100")
+def recipe_beaconing(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_suppkey", F.concat("l_returnflag", "l_linestatus").alias("l_shipmode_like"))
+    return rows.groupBy("l_suppkey", "l_shipmode_like").agg(F.count(F.lit(1)).alias("n")).filter("n > 100")
+
+
+@query("recipe_long_names", "SELECT p_partkey, length(p_name) AS n FROM part WHERE length(p_name) > 12")
+def recipe_long_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.length("p_name").alias("n")).filter("n > 12")
+
+
+@query("recipe_rare_customers", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) <= 2")
+def recipe_rare_customers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).filter("n <= 2")
+
+
+@query("reference_set_membership", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def reference_set_membership(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    c = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return o.join(c, "o_custkey", "left_semi").select("o_orderkey")

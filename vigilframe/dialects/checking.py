@@ -223,4 +223,4 @@ def clean_reply(text: Column) -> Column:
     rule = F.regexp_extract(text, r"(?s)(<rule\b.*?</rule>)", 1)
     select = F.regexp_extract(text, r"(?is)(\bSELECT\b.*?(?:LAST \d+ \w+|$))", 1)
     line = F.regexp_extract(text, r"(?m)^((?:index=|search |sequence |[A-Za-z]+ where ).*)$", 1)
-    return F.trim(F.coalesce(*(F.nullif(c, F.lit("")) for c in (fenced, rule, select, line)), text))
+    return F.regexp_replace(F.coalesce(*(F.nullif(c, F.lit("")) for c in (fenced, rule, select, line)), text), r"^\s+|\s+$", "")

@@ -31,3 +31,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return a frame that reads it, free of its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where a scan of few, small files would leave most of them idle.
+
+    Only inputs with fewer partitions than cores are dealt out anew; larger ones, and plans that already
+    have an exchange, stay as they are.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "Adaptive" in plan:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

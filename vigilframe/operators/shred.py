@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from vigilframe.durable import spread
 from vigilframe.operators.jsontext import inner, read
 
 
@@ -201,7 +202,7 @@ def shred(df: DataFrame, id_col: str, json_col: str, values: bool = False, schem
                         columns.append(pa.array(scalars, pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(id_col, json_col).mapInArrow(run, T.StructType(fields))
+    return spread(df.select(id_col, json_col)).mapInArrow(run, T.StructType(fields))
 
 
 def node_table(nodes: DataFrame, node: str, columns: dict[str, str]) -> DataFrame:
