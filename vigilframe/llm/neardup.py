@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilframe.durable import cut
+from vigilframe.durable import cut, spread
 from vigilframe.llm.splits import connected_components
 from vigilframe.llm.words import words
 
@@ -190,7 +190,8 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
     band value with more than ``block`` rows is compared block against block in tasks of their own, so no
     pair is left out.  Ids must be unique integers.  An empty table gives two empty frames.
     """
-    sets = df.select(F.col(id_col).cast("long").alias("id"), word_sets(text).alias("words")).filter(F.size("words") > 0)
+    texts = spread(df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")))
+    sets = texts.select("id", word_sets(F.col("text")).alias("words")).filter(F.size("words") > 0)
     keyed = sets.withColumn("set", F.xxhash64("words"))
     heads = cut(keyed.groupBy("set").agg(F.min(F.struct("id", "words")).alias("h")).select("set", "h.id", "h.words"))
     members = cut(keyed.select("id", "set").join(heads.select("set", F.col("id").alias("class")), "set").select(F.col("id").alias(id_col), "class"))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.durable import spread
+
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 #: Reference answers from which the field is trained.
@@ -437,4 +439,4 @@ def pair_defects(df: DataFrame, id_col: str, question: str, response: str, refer
             keep = pa.array([f is not None for f in found])
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array([f for f in found if f], pa.string())], names=[id_col, "defect"])
 
-    return df.select(id_col, question, response).mapInArrow(run, f"`{id_col}` {id_type}, defect string")
+    return spread(df.select(id_col, question, response)).mapInArrow(run, f"`{id_col}` {id_type}, defect string")

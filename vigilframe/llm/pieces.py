@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.durable import spread
+
 LIMIT, OVERLAP = 1500, 150
 LEVELS = ("paragraph", "sentence", "word", "none")
 
@@ -143,7 +145,7 @@ def text_pieces(df: DataFrame, id_col: str, fields: list[str], limit: int = LIMI
     other columns aren't read.  There is no shuffle: a text is cut where it is read.
     """
     # A stack of two columns without reading the table twice; short texts never leave the JVM.
-    stacked = df.select(F.col(id_col), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("_f"))
+    stacked = spread(df.select(id_col, *fields)).select(F.col(id_col), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))).alias("_f"))
     long = stacked.select(id_col, "_f.field", "_f.text").filter(F.length("text") > limit)
     id_type = df.schema[id_col].dataType.simpleString()
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.durable import cut, spread
+
 #: Labelled documents from which phrases are learned.
 SAMPLE = 6000
 #: Outcomes of the functions: sentences 0, 1, 2, 3 and more (a subject needs three); sections 0, 1, 2 and more; address no or yes; source rare, usual, frequent.
@@ -210,9 +212,7 @@ def document_subjects(df: DataFrame, labels: DataFrame, subjects: DataFrame, id_
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int32())), pa.array(subject, pa.string()), *(pa.array(x, pa.int32()) for x in (a, b, c, e))], names=[id_col, "subject", "f0", "f1", "f2", "f3"])
 
-    from vigilframe.durable import cut
-
-    seen = cut(df.select(id_col, text_col, source_col).filter(F.col(text_col).isNotNull()).mapInArrow(run, f"`{id_col}` {id_type}, subject string, f0 int, f1 int, f2 int, f3 int"))
+    seen = cut(spread(df.select(id_col, text_col, source_col).filter(F.col(text_col).isNotNull())).mapInArrow(run, f"`{id_col}` {id_type}, subject string, f0 int, f1 int, f2 int, f3 int"))
     marks = ["f0", "f1", "f2", "f3"]
     counts = {tuple(r[m] for m in marks): r["n"] for r in seen.groupBy(*marks).agg(F.count("*").alias("n")).collect()}  # at most 72 patterns
     # Documents of which nothing is seen for a subject are the bulk of the negatives.

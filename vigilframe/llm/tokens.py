@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilframe.durable import spread
+
 TOKENIZERS = "/opt/tokenizers"
 #: The pattern that splits a text before the merges (fixed by the public vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -145,7 +147,7 @@ def encode_documents(df: DataFrame, id_col: str, text_col: str, path: str, keep:
                 part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], value([tool.encode(t) for t in part.column(len(kept)).to_pylist()])], names=names)
 
-    short = df.filter(F.col(text_col).isNull() | (F.length(text_col) <= segment)).select(*kept, text_col).mapInArrow(whole, T.StructType([*fields, result]))
+    short = spread(df.filter(F.col(text_col).isNull() | (F.length(text_col) <= segment)).select(*kept, text_col)).mapInArrow(whole, T.StructType([*fields, result]))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, leaf)
