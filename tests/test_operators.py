@@ -14,6 +14,7 @@ from vigilframe.dialects.checking import check, clean_reply, suggestion
 from vigilframe.functions.scores import bleu, combined, common_subsequence, edit_distance, edit_similarity, field_match, grade, query_fields, rouge_l, score_pairs
 from vigilframe.functions.text import chunk_id, duration_literal, duration_seconds, normal_query, platform_of_path, sub_technique_ok, technique_ok, unit_chunks
 from vigilframe.operators.commands import in_cidr
+from vigilframe.operators import vectors
 from vigilframe.operators.vectors import hashing_embedding, mmr
 from vigilframe.sources import files
 from vigilframe.sources.connector import connect
@@ -116,7 +117,7 @@ def test_static_checks(spark):
     assert one(spark, clean_reply(F.lit("Here:\n```spl\nindex=a\n```")), clean_reply(F.lit("so: <rule id='1'></rule> ok"))) == ["index=a", "<rule id='1'></rule>"]
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(size=8)
     v = [base / np.linalg.norm(base), base / np.linalg.norm(base), rng.normal(size=8)]
@@ -124,6 +125,12 @@ def test_vectors(spark):
     df = spark.createDataFrame([(i, [float(y) for y in x], 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
     q = spark.createDataFrame([(1, [float(y) for y in v[0]])], "query_id long, query array<double>")
     assert [r.vec_id for r in mmr(df, q, 2, balance=0.3).orderBy("rank").collect()] == [0, 2]
+    many = spark.createDataFrame([(i, [float(y) for y in rng.normal(size=4)]) for i in range(300)], "vec_id long, embedding array<double>")
+    asked = many.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole = {(r.query_id, r.rank): r.vec_id for r in vectors.top_k(many, asked, 3).collect()}
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 70)
+    assert {(r.query_id, r.rank): r.vec_id for r in vectors.top_k(many, asked, 3).collect()} == whole and len(whole) == 900
     e = spark.createDataFrame([(["a", "b"],), ([],)], "w array<string>").select(hashing_embedding(F.col("w"), 16).alias("e")).collect()
     assert abs(sum(x * x for x in e[0].e) - 1) < 1e-9 and len(e[1].e) == 16
 

@@ -92,7 +92,7 @@ _where("filter_in", "event_type IN ('error', 'click')", _leaf("category", "in",
 _where("filter_in_scalar", "event_type = 'error'", _leaf("category", "in", "error"))
 _where("filter_not_in", "event_type NOT IN ('error', 'click')", _leaf("category", "not_in", ["error", "click"]))
 _where("filter_contains", "contains(lower(event_type), 'ur')", _leaf("category", "contains", "UR"))
-_where("filter_contains_literal", "contains(lower(props), '%')", _leaf("props", "contains", "%"))
+_where("filter_contains_literal", "contains(lower(props), '\"k\": 3')", _leaf("props", "contains", '"K": 3'))
 _where("filter_term", "regexp_matches(props, '(?i)\\bk\\b')", _leaf("props", "contains", "k"), contains="term")
 _where("filter_regex", "regexp_matches(event_type, '^(si|er)')", _leaf("category", "regex", "^(si|er)"))
 _where("filter_negate", "NOT (event_type = 'error') AND NOT (value > 50)", _leaf("category", "eq", "error", negate=True), _leaf("bytes_out", "gt", 50, negate=True))
@@ -304,12 +304,12 @@ def cidr_match(spark: SparkSession, d: str) -> DataFrame:
 # Retrieval
 
 
-@query("vector_top_k", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, vec_id, list_sum(list_transform(generate_series(1, len(embedding)), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(q[i] AS DOUBLE))) AS score FROM embeddings, q WHERE label < 5) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
+@query("vector_top_k", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_sum(list_transform(generate_series(1, len(embedding)), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(q[i] AS DOUBLE))) AS score FROM embeddings, q WHERE label < 5) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
 def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.operators.vectors import top_k
 
     v = table(spark, d, "embeddings")
-    return top_k(v, v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10, where=F.col("label") < 5).select("query_id", "vec_id", "rank")
+    return top_k(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10, where=F.col("label") < 5).select("query_id", "vec_id", "rank")
 
 
 @query("vector_mmr")
@@ -317,7 +317,7 @@ def vector_mmr(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.operators.vectors import mmr
 
     v = table(spark, d, "embeddings")
-    return mmr(v, v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)
+    return mmr(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)
 
 
 @query("vector_top_k_per_label", "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 1), s AS (SELECT label, vec_id, round(list_sum(list_transform(generate_series(1, len(embedding)), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(q[i] AS DOUBLE))), 9) AS score FROM embeddings, q) SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 3")
@@ -635,9 +635,9 @@ def recipe_beaconing(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("l_suppkey", "l_shipmode_like").agg(F.count(F.lit(1)).alias("n")).filter("n > 100")
 
 
-@query("recipe_long_names", "SELECT p_partkey, length(p_name) AS n FROM part WHERE length(p_name) > 12")
+@query("recipe_long_names", "SELECT p_partkey, length(p_name) AS n FROM part WHERE length(p_name) > 10")
 def recipe_long_names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", F.length("p_name").alias("n")).filter("n > 12")
+    return table(spark, d, "part").select("p_partkey", F.length("p_name").alias("n")).filter("n > 10")
 
 
 @query("recipe_rare_customers", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) <= 2")

@@ -21,29 +21,59 @@ def l2_normalise(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
+#: Queries that one block holds; so many are sent to the workers, more are met block by block.
+QUERY_BLOCK = 4096
+VECTOR_BLOCK = 65_536
+
+
+def _best(ids: np.ndarray, matrix: np.ndarray, keys: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` vectors of a batch for each query; equal scores by key."""
+    order = np.argsort(keys, kind="stable")
+    keys, vectors = keys[order], vectors[order]
+    found = []
+    for at in range(0, len(ids), 512):
+        scores = matrix[at : at + 512] @ vectors.T
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        found.append((np.repeat(ids[at : at + 512], top.shape[1]), keys[top.ravel()], np.take_along_axis(scores, top, 1).ravel()))
+    return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query", where: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest vectors of each query by inner product, equal scores by id.
 
-    ``where`` filters first, so that ``k`` hits remain.  The queries are a given, small set: they are sent to
-    the workers, every batch keeps its best ``k`` per query, and the best of these few rows are ranked.
+    ``where`` filters first, so that ``k`` hits remain.  Up to QUERY_BLOCK queries are sent to the workers, where every batch
+    keeps its best ``k``.  More queries are cut into blocks, as are the vectors; every pair of blocks is a group of its
+    own, so neither side is ever whole in one place.  The best of the kept rows are ranked.
     """
     base = vectors if where is None else vectors.filter(where)
-    rows = queries.select(query_id, query_vector).collect()
-    ids = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
     q_type, v_type = queries.schema[query_id].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.sort_values(id_col)
-            if not len(batch) or not ids:
-                continue
-            scores = matrix @ np.stack(batch[vector].to_numpy()).astype(np.float64).T
-            for n, q in enumerate(ids):
-                order = np.argsort(-scores[n], kind="stable")[:k]
-                yield pd.DataFrame({query_id: q, id_col: batch[id_col].to_numpy()[order], "score": scores[n][order]})
-
-    found = base.select(id_col, vector).mapInPandas(best, f"`{query_id}` {q_type}, `{id_col}` {v_type}, score double")
+    schema = f"`{query_id}` {q_type}, `{id_col}` {v_type}, score double"
+    names = [query_id, id_col, "score"]
+    head = queries.select(query_id, query_vector).limit(QUERY_BLOCK + 1).collect()
+    if len(head) <= QUERY_BLOCK:
+        ids = np.array([r[0] for r in head])
+        matrix = np.array([r[1] for r in head], np.float64) if head else np.zeros((0, 1))
+
+        def batchwise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch) and len(ids):
+                    yield pd.DataFrame(dict(zip(names, _best(ids, matrix, batch[id_col].to_numpy(), np.stack(batch[vector].to_numpy()).astype(np.float64), k))))
+
+        found = base.select(id_col, vector).mapInPandas(batchwise, schema)
+    else:
+        blocks = int(np.ceil(queries.count() / QUERY_BLOCK))
+        parts = max(1, int(np.ceil(base.count() / VECTOR_BLOCK)))
+        part_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        left = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v"), part_of(query_id, blocks).alias("_a")).withColumn("_b", every(parts))
+        right = base.select(F.col(id_col).alias("_i"), F.col(vector).alias("_v"), part_of(id_col, parts).alias("_b")).withColumn("_a", every(blocks))
+
+        def pairwise(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame(dict(zip(names, _best(a["_q"].to_numpy(), np.stack(a["_v"].to_numpy()).astype(np.float64), b["_i"].to_numpy(), np.stack(b["_v"].to_numpy()).astype(np.float64), k))))
+
+        found = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(pairwise, schema)
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

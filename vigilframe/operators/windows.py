@@ -7,36 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _slice(time: str, seconds: int) -> Column:
+    return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (seconds * 1_000_000))
+
+
 def frequency(df: DataFrame, keys: list[str], time: str, span_seconds: int, least: int, name: str = "in_span") -> DataFrame:
-    """Events at which their key has had at least ``least`` events within the closed span before them."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-span_seconds * 1_000_000, 0)
-    return df.withColumn(name, F.count(F.lit(1)).over(w)).filter(F.col(name) >= least)
+    """Events at which their key has had at least ``least`` events within the closed span before them.
+
+    Events are windowed per key and time slice as wide as the span; each is also lent to the slice after its own, as
+    what came before.  So a hot key is spread over its slices instead of being one task.
+    """
+    lent = df.withColumn("_lent", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_slice", _slice(time, span_seconds) + F.col("_lent"))
+    w = Window.partitionBy(*keys, "_slice").orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-span_seconds * 1_000_000, 0)
+    return lent.withColumn(name, F.count(F.lit(1)).over(w)).filter(f"_lent = 0 and `{name}` >= {int(least)}").drop("_lent", "_slice")
 
 
 def sessions(df: DataFrame, keys: list[str], time: str, gap_seconds: int) -> DataFrame:
-    """Transactions: events of a key that follow one another within the gap (keys may be none).
+    """Transactions: events of a key (or, without keys, all events) that follow one another within the gap.
 
-    Columns: keys, session (0, 1, .. within the key), started, ended, events.  Without keys the gap decides over all events;
-    as one task would then hold all of them, days are treated apart and joined where sessions touch.
+    Columns: keys, session (0, 1, .. in time), started, ended, events.  Events are first counted per time slice as
+    wide as the gap - within one no gap can open - where they are; only the slices are ordered, at most the time
+    span divided by the gap for each key, however many events there are.  Rows without a time are left out.
     """
-    if not keys:
-        return _unkeyed_sessions(df, time, gap_seconds)
-    w = Window.partitionBy(*keys).orderBy(time)
-    gap = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(w).cast("timestamp"))
-    marked = df.withColumn("_new", F.coalesce((gap > gap_seconds * 1_000_000).cast("int"), F.lit(0)))
+    slices = df.filter(F.col(time).isNotNull()).groupBy(*keys, _slice(time, gap_seconds).alias("_slice")).agg(F.min(time).alias("_a"), F.max(time).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_slice")
+    gap = F.unix_micros(F.col("_a").cast("timestamp")) - F.unix_micros(F.lag("_b").over(w).cast("timestamp"))
+    marked = slices.withColumn("_new", F.coalesce((gap > gap_seconds * 1_000_000).cast("int"), F.lit(0)))
     numbered = marked.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return numbered.groupBy(*keys, "session").agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count(F.lit(1)).alias("events"))
-
-
-def _unkeyed_sessions(df: DataFrame, time: str, gap_seconds: int) -> DataFrame:
-    daily = sessions(df.withColumn("_day", F.to_date(time)), ["_day"], time, gap_seconds)
-    # the day's sessions are few; those that touch over midnight are joined in one ordered pass over them
-    joined = daily.withColumnRenamed("events", "_n")
-    w = Window.partitionBy(F.lit(1)).orderBy("started")
-    gap = F.unix_micros(F.col("started").cast("timestamp")) - F.unix_micros(F.lag("ended").over(w).cast("timestamp"))
-    marked = joined.withColumn("_new", F.coalesce((gap > gap_seconds * 1_000_000).cast("int"), F.lit(0)))
-    numbered = marked.withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return numbered.groupBy(F.col("_s").alias("session")).agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("_n").alias("events"))
+    return numbered.groupBy(*keys, "session").agg(F.min("_a").alias("started"), F.max("_b").alias("ended"), F.sum("_n").alias("events"))
 
 
 def eventstats(df: DataFrame, by: list[str], **measures: Column) -> DataFrame:
