@@ -284,8 +284,8 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
 def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs within hot band values: every block meets every block of its value in a group of its own."""
     counts = rows.groupBy("key").agg((F.max("block") + 1).alias("blocks"))
-    spread = rows.join(F.broadcast(counts), "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tasks = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), F.col("a").alias("id"), "m0", "m1")
+    lent = rows.join(counts, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tasks = lent.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), F.col("a").alias("id"), "m0", "m1")
 
     def compare(key, group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
