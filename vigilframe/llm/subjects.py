@@ -28,7 +28,7 @@ SAMPLE = 6000
 LEVELS = (4, 3, 2, 3)
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
-_QUERY_LINE = re.compile(r"==|=[\"'*]|\s\|\s|^\s*\||\bSELECT\b.+\bFROM\b|^\s*index=")
+_QUERY_LINE = re.compile(r"==|=[\"'*]|\s\|\s|^\s*\||\bselect\b.+\bfrom\b|^\s*index=")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W_]+")
 _ADDRESS = re.compile(r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b", re.I)
@@ -38,18 +38,25 @@ _MARK = re.compile(r"^\s*(?:#+|\d+[.)]|[-*•]|\[\d\d:\d\d\]\s*(?:<\w+>)?)")
 def sections(text: str) -> list[list[list[str]]]:
     """The sentences, as words, of every section of a text.  A section ends at a blank line, a heading or the next item of a list; lines of queries are left out."""
     found: list[list[list[str]]] = [[]]
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
-        if not line.strip() or _MARK.match(line):
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    words_of, split = _WORD.findall, _SENTENCE.split
+    for line in text.lower().split("\n"):
+        bare = line.lstrip()
+        if not bare or ((bare[0] in "#-*•[" or bare[0].isdigit()) and _MARK.match(bare)):
             if found[-1]:
                 found.append([])
-            if not line.strip():
+            if not bare:
                 continue
-        if _QUERY_LINE.search(line):
+        if ("=" in line or "|" in line or "select" in line) and _QUERY_LINE.search(line):
             continue
-        for s in _SENTENCE.split(_TAG.sub(" ", line)):
-            words = _WORD.findall(s.lower())
+        if "<" in line:
+            line = _TAG.sub(" ", line)
+        own = found[-1]
+        for sentence in split(line):
+            words = words_of(sentence)
             if words:
-                found[-1].append(words)
+                own.append(words)
     return [s for s in found if s]
 
 
@@ -69,18 +76,17 @@ class Lexicon:
     def on(self, words: list[str]) -> set[int]:
         """The subjects of a sentence; of overlapping phrases the longest counts."""
         found: set[int] = set()
-        k = 0
-        while k < len(words):
-            own = self.phrases.get(words[k])
-            step = 1
-            if own:
-                for n in (3, 2, 1):
-                    s = own.get(tuple(words[k : k + n]))
-                    if s is not None:
-                        found.add(s)
-                        step = n
-                        break
-            k += step
+        starts, end = self.phrases, 0
+        for k in [k for k, w in enumerate(words) if w in starts]:
+            if k < end:
+                continue
+            own = starts[words[k]]
+            for n in (3, 2, 1):
+                s = own.get(tuple(words[k : k + n]))
+                if s is not None:
+                    found.add(s)
+                    end = k + n
+                    break
         return found
 
     def outcomes(self, text: str, source: str | None) -> dict[int, tuple[int, int, int, int]]:
