@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilframe.llm import oracle
 from vigilframe.llm.mixing import mixture, short_sources, source_sizes
 from vigilframe.llm.neardup import document_pairs, near_duplicate_groups, near_duplicates
 from vigilframe.llm.pairs import pair_defects
@@ -56,7 +57,7 @@ def _components(spark: SparkSession, d: str) -> DataFrame:
     return entity_components(examples, "ex_id", {"family": family(F.col("technique_id")), "question": question(F.col("nl_query"))})
 
 
-@query("p2_found")
+@query("p2_found", oracle.P2_FOUND)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.llm.splits import linking_pairs
 
@@ -72,7 +73,7 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
 # Problem 3
 
 
-@query("p3_found")
+@query("p3_found", oracle.P3_FOUND)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return long_texts(text_pieces(table(spark, d, "technique_entries"), "entry_id", ["description", "detection"], with_text=False))
 
@@ -97,7 +98,7 @@ def _categorised(spark: SparkSession, d: str) -> DataFrame:
     return categorised(examples, table(spark, d, "sample_targets"), dims, ["ex_id"])
 
 
-@query("p5_found")
+@query("p5_found", oracle.P5_FOUND)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.durable import cut
 
@@ -161,7 +162,7 @@ def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates(table(spark, d, "examples"), "ex_id", F.col("nl_query"), SIMILARITY)
 
 
-@query("p7_found")
+@query("p7_found", oracle.P7_FOUND)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return document_pairs(*_near(spark, d))
 
