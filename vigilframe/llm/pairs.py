@@ -420,13 +420,15 @@ class PairTagger:
 def pair_defects(df: DataFrame, id_col: str, question: str, response: str, reference: str, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """(id, defect) of every defective pair: empty, truncated, refusal, copy or language.
 
-    The field is trained from ``training_rows`` reference answers, those with the least hashes of question
-    and answer, so the same ones on every run; all pairs are judged.  A null response is empty; a null
+    The field is trained from ``training_rows`` reference answers, the least hash of question and answer
+    in each of so many hash ranges, so the same ones on every run; all pairs are judged.  A null response is empty; a null
     question can't be copied.  Repeated rows are judged each; without any row with a reference the field
     is trained on refusals and remarks alone.  Other columns aren't read.
     """
-    sample = df.select(question, reference).filter(F.col(question).isNotNull() & (F.length(reference) > 20)).orderBy(F.xxhash64(question, reference)).limit(training_rows).collect()
-    rows = [(r[0], r[1]) for r in sample] or [("find all events of one user", "")]
+    usable = df.select(F.col(question).alias("q"), F.col(reference).alias("r")).filter(F.col("q").isNotNull() & (F.length("r") > 20)).withColumn("h", F.xxhash64("q", "r"))
+    # one pair per hash range: combined where the rows are, so that no more than these rows ever reach the driver
+    sample = usable.groupBy(F.pmod("h", F.lit(training_rows)).alias("range")).agg(F.min(F.struct("h", "q", "r")).alias("s")).select("s.q", "s.r").collect()
+    rows = sorted((x.q, x.r) for x in sample) or [("find all events of one user", "")]
     field = ChainField.train(training_examples(rows))
     shared = df.sparkSession.sparkContext.broadcast((field.weights, field.steps, beginnings_of([r for _, r in rows])))
     id_type = df.schema[id_col].dataType.simpleString()
