@@ -650,3 +650,57 @@ def reference_set_membership(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     c = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
     return o.join(c, "o_custkey", "left_semi").select("o_orderkey")
+
+
+# Pipeline and nested values
+
+
+@query("translated_questions")
+def translated_questions(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.plans.pipeline import translations
+
+    return translations(table(spark, d, "seed_queries"), "seed_id", "nl_query")
+
+
+@query("accepted_questions")
+def accepted_questions(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.plans.pipeline import accepted, translations
+
+    return accepted(translations(table(spark, d, "seed_queries"), "seed_id", "nl_query"), "seed_id")
+
+
+@query("structural_match", "WITH n AS (SELECT record_id, lower(trim(regexp_replace(regexp_replace(coalesce(hypothesis, ''), '#[^\\n\\r]*', '', 'g'), '\\s+', ' ', 'g'))) AS a, lower(trim(regexp_replace(regexp_replace(coalesce(reference, ''), '#[^\\n\\r]*', '', 'g'), '\\s+', ' ', 'g'))) AS b FROM ablation), f AS (SELECT record_id, a = b AS exact, list_distinct(regexp_extract_all(a, '\\b([a-z_\\.]+)\\s*[:=]', 1)) AS fa, list_distinct(regexp_extract_all(b, '\\b([a-z_\\.]+)\\s*[:=]', 1)) AS fb FROM n) SELECT record_id, exact, round(CASE WHEN len(fb) > 0 THEN len(list_intersect(fa, fb)) / len(fb) ELSE 1 END, 6) AS field_coverage FROM f")
+def structural_match_(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.functions.scores import structural_match
+
+    rows = table(spark, d, "ablation").select("record_id", structural_match(F.coalesce("hypothesis", F.lit("")), F.coalesce("reference", F.lit(""))).alias("m"))
+    return rows.select("record_id", "m.exact", F.round("m.field_coverage", 6).alias("field_coverage"))
+
+
+@query("document_keys", "WITH k AS (SELECT unnest(json_keys(props)) AS key FROM events) SELECT key, count(*) AS n FROM k GROUP BY 1")
+def document_keys(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.functions.nested import json_keys
+
+    return spread(_events(spark, d).select("props")).select(F.explode(json_keys(F.col("props"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("wildcard_like", "SELECT p_partkey FROM part WHERE p_name LIKE '_e%'")
+def wildcard_like(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.functions.nested import like
+
+    return table(spark, d, "part").filter(like(F.col("p_name"), "?e*")).select("p_partkey")
+
+
+@query("score_spread", "SELECT platform, count(*) AS n, round(avg(semantic_score), 4) AS mean, round(coalesce(stddev_samp(semantic_score), 0), 4) AS deviation, round(avg(CAST(semantic_score >= 0.85 AS INT)), 4) AS excellent FROM ablation GROUP BY 1")
+def score_spread(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("semantic_score")
+    rows = table(spark, d, "ablation").groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp(s), F.lit(0.0)), 4).alias("deviation"), F.round(F.avg((s >= 0.85).cast("int")), 4).alias("excellent"))
+    return rows
+
+
+@query("unit_offsets", "SELECT seed_id, strpos(nl_query, ' ') AS second FROM seed_queries")
+def unit_offsets_(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.functions.nested import unit_offsets
+
+    rows = table(spark, d, "seed_queries").select("seed_id", unit_offsets(F.col("nl_query"), F.split("nl_query", " ")).alias("o"))
+    return rows.select("seed_id", F.get("o", F.lit(1)).cast("long").alias("second"))

@@ -108,7 +108,7 @@ def spl(q: Query) -> str:
         by = ", ".join(map(g.name, q.aggregation.group_by))
         parts.append(f"stats {g.measure(q, {'count': 'count', 'distinct_count': 'dc({})'}, '_raw')} as {q.aggregation.output}" + (f" by {by}" if by else ""))
     if t := q.threshold:
-        parts.append(f"where {t.field} {_AQL.signs.get(t.op, '') if t.op == 'eq' else _SIGNS.get(t.op, '>')} {_number(t.value)}")
+        parts.append(f"where {q.threshold_name} {_AQL.signs.get(t.op, '') if t.op == 'eq' else _SIGNS.get(t.op, '>')} {_number(t.value)}")
     parts.append(g.order(q, "sort -{}", "sort {}"))
     parts.append(f"head {q.limit}" if q.limit else "")
     parts.append("table " + ", ".join(map(g.name, q.fields)) if q.fields else "")
@@ -129,7 +129,7 @@ def aql(q: Query) -> str:
     if q.aggregates and q.aggregation.group_by:
         lines.append("GROUP BY " + ", ".join(map(g.name, q.aggregation.group_by)))
     if t := q.threshold:
-        lines.append(f"HAVING {t.field} {g.signs.get(t.op, _SIGNS.get(t.op, '>'))} {_number(t.value)}")
+        lines.append(f"HAVING {q.threshold_name} {g.signs.get(t.op, _SIGNS.get(t.op, '>'))} {_number(t.value)}")
     lines.append(g.order(q, "ORDER BY {} DESC", "ORDER BY {} ASC"))
     lines.append(f"LIMIT {q.limit}" if q.limit else "")
     if q.time_window:
@@ -162,7 +162,7 @@ def elastic(q: Query) -> str:
         by = ", ".join(map(_EQL.name, q.aggregation.group_by))
         lines.append(f"| stats {_EQL.measure(q, {'count': 'count(*)', 'distinct_count': 'unique_count({})'}, '*')} as {q.aggregation.output}" + (f" by {by}" if by else ""))
     if t := q.threshold:
-        lines.append(f"| where {t.field} {_EQL.signs.get(t.op, _SIGNS.get(t.op, '>'))} {_number(t.value)}")
+        lines.append(f"| where {q.threshold_name} {_EQL.signs.get(t.op, _SIGNS.get(t.op, '>'))} {_number(t.value)}")
     order = _EQL.order(q, "| sort {} desc", "| sort {} asc")
     return "\n".join(x for x in (*lines, order, f"| head {q.limit}" if q.limit else "") if x)
 
@@ -181,7 +181,7 @@ def kusto(q: Query) -> str:
         by = ", ".join(map(g.name, q.aggregation.group_by))
         parts.append(f"summarize {q.aggregation.output} = {g.measure(q, {'count': 'count()', 'distinct_count': 'dcount({})'}, '*')}" + (f" by {by}" if by else ""))
     if t := q.threshold:
-        parts.append(f"where {t.field} {g.signs.get(t.op, _SIGNS.get(t.op, '>'))} {_number(t.value)}")
+        parts.append(f"where {q.threshold_name} {g.signs.get(t.op, _SIGNS.get(t.op, '>'))} {_number(t.value)}")
     parts.append(g.order(q, "order by {} desc", "order by {} asc"))
     parts.append(f"take {q.limit}" if q.limit else "")
     parts.append("project " + ", ".join(dict.fromkeys(map(g.name, q.fields))) if q.fields else "")
@@ -246,7 +246,7 @@ def esql(q: Query, index: str = "events") -> str:
         by = ", ".join(map(g.name, q.aggregation.group_by))
         parts.append(f"STATS {q.aggregation.output} = {g.measure(q, {'count': 'COUNT(*)', 'distinct_count': 'COUNT_DISTINCT({})', 'sum': 'SUM({})', 'avg': 'AVG({})', 'min': 'MIN({})', 'max': 'MAX({})'}, '*')}" + (f" BY {by}" if by else ""))
     if t := q.threshold:
-        parts.append(f"WHERE {t.field} {g.signs.get(t.op, _SIGNS.get(t.op, '>'))} {_number(t.value)}")
+        parts.append(f"WHERE {q.threshold_name} {g.signs.get(t.op, _SIGNS.get(t.op, '>'))} {_number(t.value)}")
     parts.append(g.order(q, "SORT {} DESC", "SORT {} ASC"))
     parts.append(f"LIMIT {q.limit}" if q.limit else "")
     if q.fields and not q.aggregates:
