@@ -66,11 +66,11 @@ def test_scores():
 
 def test_score_pairs(spark):
     rows = [("index=a src_ip=1 | stats count by user", "index=a src_ip=1 | stats count by user"), (None, "index=a src_ip=1"), ('x where source.ip == "1"', "SELECT sourceip FROM events WHERE sourceip = 1")]
-    got = score_pairs(spark.createDataFrame(rows, "m string, r string"), "m", "r").collect()
+    got = score_pairs(spark.createDataFrame(rows, "m string, r string").withColumn("p", F.lit("qradar")), "m", "r", platform="p").collect()
     assert got[0].semantic_score == 1 and got[0].grade == "EXCELLENT" and got[1].bleu == 0 and got[2].field_f1 == 1
     with pytest.raises(ValueError):
         combined({"bleu": 0.5})
-    f = spark.createDataFrame([(["a", "b"], ["b", "c"])], "m array<string>, r array<string>").select(field_match(F.col("m"), F.col("r")).alias("f"), grade(F.lit(0.7)).alias("g"), query_fields(F.lit('<field name="srcip">')).alias("q")).first()
+    f = spark.createDataFrame([(["a", "b"], ["b", "c"])], "m array<string>, r array<string>").select(field_match(F.col("m"), F.col("r")).alias("f"), grade(F.lit(0.7)).alias("g"), query_fields(F.lit('<field name="srcip">'), "wazuh").alias("q")).first()
     assert (f.f.f1, f.f.missing, f.f.extra, f.g, f.q) == (0.5, ["c"], ["a"], "GOOD", ["src_ip"])
 
 

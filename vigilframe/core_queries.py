@@ -382,7 +382,7 @@ def query_ngrams(spark: SparkSession, d: str) -> DataFrame:
 def semantic_scores(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.functions.scores import score_pairs
 
-    return score_pairs(table(spark, d, "ablation").select("record_id", "hypothesis", "reference"), "hypothesis", "reference").select("record_id", "bleu", "rouge_l", "token_edit_sim", "field_f1", "semantic_score", "grade")
+    return score_pairs(table(spark, d, "ablation").select("record_id", "platform", "hypothesis", "reference"), "hypothesis", "reference", platform="platform").select("record_id", "bleu", "rouge_l", "token_edit_sim", "field_f1", "semantic_score", "grade")
 
 
 @query("static_checks")
