@@ -326,7 +326,7 @@ def vector_top_k_per_label(spark: SparkSession, d: str) -> DataFrame:
 
     v = table(spark, d, "embeddings")
     one = v.filter("vec_id = 1").select("embedding").first()
-    return top_k_per(v, [float(x) for x in one[0]], 3, "label").select("label", "vec_id", "rank")
+    return top_k_per(v, [float(x) for x in one[0]] if one and one[0] else [], 3, "label").select("label", "vec_id", "rank")
 
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^0-9A-Za-z_]+'), lambda w: w <> ''))"

@@ -41,11 +41,12 @@ def _best(ids: np.ndarray, matrix: np.ndarray, keys: np.ndarray, vectors: np.nda
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query", where: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest vectors of each query by inner product, equal scores by id.
 
-    ``where`` filters first, so that ``k`` hits remain.  Up to QUERY_BLOCK queries are sent to the workers, where every batch
+    Null vectors and queries take no part.  ``where`` filters first, so that ``k`` hits remain.  Up to QUERY_BLOCK queries are sent to the workers, where every batch
     keeps its best ``k``.  More queries are cut into blocks, as are the vectors; every pair of blocks is a group of its
     own, so neither side is ever whole in one place.  The best of the kept rows are ranked.
     """
-    base = vectors if where is None else vectors.filter(where)
+    base = vectors.filter(F.col(vector).isNotNull()) if where is None else vectors.filter(where & F.col(vector).isNotNull())
+    queries = queries.filter(F.col(query_vector).isNotNull())
     q_type, v_type = queries.schema[query_id].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
     schema = f"`{query_id}` {q_type}, `{id_col}` {v_type}, score double"
     names = [query_id, id_col, "score"]
@@ -79,8 +80,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
 
 
 def top_k_per(vectors: DataFrame, query: list[float], k: int, part: str, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The ``k`` nearest vectors in every part."""
-    scored = vectors.withColumn("score", F.round(dot(F.col(vector), F.lit(query)), 9))
+    """The ``k`` nearest vectors in every part; without a query vector, or for null vectors, there are none."""
+    if not query:
+        return vectors.limit(0).select(part, id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    scored = vectors.filter(F.col(vector).isNotNull()).withColumn("score", F.round(dot(F.col(vector), F.lit(query)), 9))
     w = Window.partitionBy(part).orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(part, id_col, "score", "rank")
 
