@@ -34,7 +34,7 @@ def test_quotas_follow_margins():
 def test_sample(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a", "a", "a", "b"]), rng.choice(["x", "y", None])) for i in range(4000)] + [(5000, "c", "x"), (5000, "c", "x")]
-    targets = spark.createDataFrame([("u", "a", 0.5, 1), ("u", "b", 0.4, 1), ("u", "c", 0.1, 3), ("v", "x", 0.5, 0), ("v", "y", 0.5, None)], TARGETS)
+    targets = spark.createDataFrame([("u", "a", 0.5, 1), ("u", "b", 0.4, 1), ("u", "c", 0.1, 3), ("v", "x", 0.5, 0), ("v", "y", 0.5, None), (None, "a", 0.5, 1), ("u", None, 0.5, 1)], TARGETS)
     df = categorised(spark.createDataFrame(rows, "id long, u string, v string").withColumn("quota", F.lit(1)), targets, {"u": F.col("u"), "v": F.col("v")}, ["id"])
     sample, report = proportional_sample(df, targets, "id", ["u", "v"])
     got = sample.collect()
@@ -106,7 +106,7 @@ def test_water_fill():
 def test_mixture(spark):
     rng = random.Random(3)
     docs = spark.createDataFrame([(i, rng.choice(["a", "b", "b", "b", None]), rng.randint(0, 40)) for i in range(4000)] + [(9000, "tiny", 7), (9001, "unlisted", 50)], "id long, source string, tokens long").withColumn("times", F.lit(0))
-    targets = spark.createDataFrame([("a", 0.6, 3), ("b", 0.3, 1), ("tiny", 0.1, 2), ("absent", 0.0, 4), ("absent", None, None)], "source string, weight double, max_repeats int")
+    targets = spark.createDataFrame([("a", 0.6, 3), ("b", 0.3, 1), ("tiny", 0.1, 2), ("absent", 0.0, 4), ("absent", None, None), (None, 0.5, 1)], "source string, weight double, max_repeats int")
     mixed, shares = mixture(docs, targets, "id")
     of = {r.source: r for r in shares.collect()}
     assert abs(of["a"].actual_tokens - of["a"].wanted_tokens) <= 41 and of["tiny"].actual_tokens == 14 and of["tiny"].capped and of["absent"].actual_tokens == 0

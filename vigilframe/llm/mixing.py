@@ -36,11 +36,11 @@ def source_sizes(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
     """(targets with the tokens of their source, tokens of all documents).
 
     docs: source, tokens.  targets: source, weight, max_repeats; a source listed twice counts once with its
-    greatest values, nulls as 0.  Sources of documents that aren't listed count only in the total.
+    greatest values, nulls as 0, one without a name not at all.  Sources of documents that aren't listed count only in the total.
     """
     sizes = cut(docs.groupBy("source").agg(F.sum("tokens").alias("tokens")))
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    wanted = targets.groupBy("source").agg(F.coalesce(F.max("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("max_repeats"))
+    wanted = targets.filter("source is not null").groupBy("source").agg(F.coalesce(F.max("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("max_repeats"))
     return wanted.join(sizes, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))), total
 
 

@@ -92,8 +92,8 @@ def _categorised(spark: SparkSession, d: str) -> DataFrame:
     examples = json_field(table(spark, d, "examples").select("ex_id", "tactic", "complexity", "ir"), "ir", "action", "action")
     tactics = table(spark, d, "tactics")
     # The spellings of a dozen tactics: a small map inside the plan.
-    spelt = tactics.select(F.explode(F.array("tactic_id", "name", "shortname")).alias("s"), F.regexp_replace("shortname", "-", "_").alias("t")).select(label_key(F.col("s")).alias("k"), "t").distinct().collect()
-    named = F.create_map(*(F.lit(x) for r in spelt for x in (r.k, r.t)))
+    spelt = tactics.select(F.explode(F.array("tactic_id", "name", "shortname")).alias("s"), F.regexp_replace("shortname", "-", "_").alias("t")).select(label_key(F.col("s")).alias("k"), "t").filter("k is not null and t is not null").groupBy("k").agg(F.min("t").alias("t")).collect()
+    named = F.create_map(*(F.lit(x) for r in spelt for x in (r.k, r.t))) if spelt else F.create_map().cast("map<string,string>")
     dims = {"tactic": F.try_element_at(named, F.coalesce(label_key(F.col("tactic")), F.lit(""))), "complexity": F.lower(F.regexp_replace("complexity", r"^\s+|\s+$", "")), "action": F.col("action")}
     return categorised(examples, table(spark, d, "sample_targets"), dims, ["ex_id"])
 
