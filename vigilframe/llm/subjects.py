@@ -91,18 +91,21 @@ class Lexicon:
 
     def outcomes(self, text: str, source: str | None) -> dict[int, tuple[int, int, int, int]]:
         """Per subject the outcomes of the functions, for subjects of which anything is seen."""
-        count: Counter = Counter()
-        mostly: Counter = Counter()
+        count: dict[int, int] = {}
+        mostly: dict[int, int] = {}
+        starts = self.phrases
         for section in sections(text):
-            own: Counter = Counter()
+            own: dict[int, int] = {}
             for words in section:
-                own.update(self.on(words))
-            count.update(own)
+                if not starts.keys().isdisjoint(words):
+                    for s in self.on(words):
+                        own[s] = own.get(s, 0) + 1
             for s, n in own.items():
+                count[s] = count.get(s, 0) + n
                 if n >= 3 and 2 * n >= len(section):
-                    mostly[s] += 1
+                    mostly[s] = mostly.get(s, 0) + 1
         tied = {self.addresses[a] for a in map(str.lower, _ADDRESS.findall(text)) if a in self.addresses} if self.addresses else set()
-        return {s: (min(count[s], 3), min(mostly[s], 2), int(s in tied), self.sources.get((source or "", s), 1)) for s in {*count, *tied}}
+        return {s: (min(count.get(s, 0), 3), min(mostly.get(s, 0), 2), int(s in tied), self.sources.get((source or "", s), 1)) for s in {*count, *tied}}
 
 
 def learn(documents: list[tuple[str, str | None, list[str]]], subjects: list[str]) -> Lexicon:
@@ -123,7 +126,7 @@ def learn(documents: list[tuple[str, str | None, list[str]]], subjects: list[str
         here: Counter = Counter()
         for section in sections(text):
             for words in section:
-                here.update({tuple(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)})
+                here.update({*zip(words), *zip(words, words[1:]), *zip(words, words[1:], words[2:])})
         for g, n in here.items():
             total[g] += n
             spread[g] += 1
