@@ -81,8 +81,9 @@ def unit_chunks(df: DataFrame, text: str, size: int = 512, overlap: int = 64, le
     wholly in the one before.  Null and empty texts have none.
     """
     clean = normal_document(F.coalesce(F.col(text), F.lit("")))
-    if strategy == "word":
-        units, glue = F.filter(F.split(clean, r"\s+"), lambda u: u != ""), " "
+    if strategy == "word":  # which needs no normal form: white space only separates
+        bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "")
+        units, glue = F.when(bare != "", F.split(bare, r"\s+")), " "
     elif strategy == "sentence":
         units, glue = F.filter(F.transform(F.split(clean, r"(?<=[.!?])\s+"), F.trim), lambda u: u != ""), " "
     elif strategy == "char":

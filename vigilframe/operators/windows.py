@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigilframe.functions.times import epoch_micros
 
-def _slice(time: str, seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / (seconds * 1_000_000))
+
+def _micros(df: DataFrame, time: str) -> Column:
+    return epoch_micros(F.col(time), df.schema[time].dataType)
+
+
+def _slice(df: DataFrame, time: str, seconds: int) -> Column:
+    return F.floor(_micros(df, time) / (seconds * 1_000_000))
 
 
 def frequency(df: DataFrame, keys: list[str], time: str, span_seconds: int, least: int, name: str = "in_span") -> DataFrame:
@@ -17,8 +23,8 @@ def frequency(df: DataFrame, keys: list[str], time: str, span_seconds: int, leas
     Events are windowed per key and time slice as wide as the span; each is also lent to the slice after its own, as
     what came before.  So a hot key is spread over its slices instead of being one task.
     """
-    lent = df.withColumn("_lent", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_slice", _slice(time, span_seconds) + F.col("_lent"))
-    w = Window.partitionBy(*keys, "_slice").orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-span_seconds * 1_000_000, 0)
+    lent = df.withColumn("_lent", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_slice", _slice(df, time, span_seconds) + F.col("_lent"))
+    w = Window.partitionBy(*keys, "_slice").orderBy(_micros(df, time)).rangeBetween(-span_seconds * 1_000_000, 0)
     return lent.withColumn(name, F.count(F.lit(1)).over(w)).filter(f"_lent = 0 and `{name}` >= {int(least)}").drop("_lent", "_slice")
 
 
@@ -29,9 +35,9 @@ def sessions(df: DataFrame, keys: list[str], time: str, gap_seconds: int) -> Dat
     wide as the gap - within one no gap can open - where they are; only the slices are ordered, at most the time
     span divided by the gap for each key, however many events there are.  Rows without a time are left out.
     """
-    slices = df.filter(F.col(time).isNotNull()).groupBy(*keys, _slice(time, gap_seconds).alias("_slice")).agg(F.min(time).alias("_a"), F.max(time).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    slices = df.filter(F.col(time).isNotNull()).groupBy(*keys, _slice(df, time, gap_seconds).alias("_slice")).agg(F.min(time).alias("_a"), F.max(time).alias("_b"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_slice")
-    gap = F.unix_micros(F.col("_a").cast("timestamp")) - F.unix_micros(F.lag("_b").over(w).cast("timestamp"))
+    gap = _micros(slices, "_a") - F.lag(_micros(slices, "_b")).over(w)
     marked = slices.withColumn("_new", F.coalesce((gap > gap_seconds * 1_000_000).cast("int"), F.lit(0)))
     numbered = marked.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     return numbered.groupBy(*keys, "session").agg(F.min("_a").alias("started"), F.max("_b").alias("ended"), F.sum("_n").alias("events"))
@@ -39,12 +45,9 @@ def sessions(df: DataFrame, keys: list[str], time: str, gap_seconds: int) -> Dat
 
 def eventstats(df: DataFrame, by: list[str], **measures: Column) -> DataFrame:
     """Aggregates of each row's group beside the row.  The groups are aggregated once and joined back, so a hot group is not one task."""
-    stats = df.groupBy(*by).agg(*(c.alias(n) for n, c in measures.items()))
-    on = [df[k].eqNullSafe(stats[k]) for k in by]
-    joined = df.join(stats, on, "left")
-    for k in by:
-        joined = joined.drop(stats[k])
-    return joined
+    stats = df.groupBy(*(F.col(k).alias(f"_by{n}") for n, k in enumerate(by))).agg(*(c.alias(f"_of{n}") for n, c in enumerate(measures.values())))
+    joined = df.join(stats, [F.col(k).eqNullSafe(F.col(f"_by{n}")) for n, k in enumerate(by)], "left")
+    return joined.select(*df.columns, *(F.col(f"_of{n}").alias(name) for n, name in enumerate(measures)))
 
 
 def streamstats(df: DataFrame, by: list[str], order: list[str], **measures: Column) -> DataFrame:
@@ -61,11 +64,13 @@ def timechart(df: DataFrame, time: str, width: str, by: list[str] | None = None,
 def make_series(df: DataFrame, time: str, seconds: int, start, end, by: list[str], default: int = 0) -> DataFrame:
     """Counts per bucket and key on a full time axis: buckets without events have ``default``."""
     count = df.filter((F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end)))
-    at = F.floor((F.unix_seconds(F.col(time).cast("timestamp")) - F.unix_seconds(F.lit(start).cast("timestamp"))) / seconds).cast("int")
+    kind = df.schema[time].dataType
+    first = epoch_micros(F.lit(start).cast(kind), kind)
+    at = F.floor((_micros(df, time) - first) / (seconds * 1_000_000)).cast("int")
     seen = count.groupBy(*by, at.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    last = F.floor((F.unix_seconds(F.lit(end).cast("timestamp")) - F.unix_seconds(F.lit(start).cast("timestamp")) - 1) / seconds).cast("int")
+    last = F.floor((epoch_micros(F.lit(end).cast(kind), kind) - first - 1) / (seconds * 1_000_000)).cast("int")
     axis = count.select(*by).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), last)))
-    return axis.join(seen, [*by, "slot"], "left").fillna({"n": default}).withColumn("bucket", F.lit(start) + F.make_dt_interval(secs=F.col("slot") * seconds)).drop("slot")
+    return axis.join(seen, [*by, "slot"], "left").fillna({"n": default}).withColumn("bucket", F.lit(start).cast(kind) + F.make_dt_interval(secs=F.col("slot") * seconds)).drop("slot")
 
 
 def risk(df: DataFrame, entity: str, score: Column, least: float) -> DataFrame:

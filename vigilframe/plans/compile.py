@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilframe.functions.times import epoch_micros
 from vigilframe.plans.fields import Binding
 from vigilframe.plans.query import Aggregate, Condition, Group, Query, QueryError, Threshold, seconds
 
@@ -198,7 +199,8 @@ def sequence(steps: list[tuple[DataFrame, Group | None, str | None]], key: Colum
         a = done.alias("a")
         if gap:
             width = seconds(gap)
-            bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / F.lit(width))  # noqa: B023, E731
+            kind = df.schema[time].dataType
+            bucket = lambda c: F.floor(epoch_micros(c, kind) / F.lit(width * 1_000_000))  # noqa: B023, E731
             a = done.withColumn("_b", F.explode(F.array(bucket(F.col(last)), bucket(F.col(last)) + 1))).alias("a")
             b = here.withColumn("_b", bucket(F.col("_t"))).alias("b")
             on = (F.col("a._k") == F.col("b._k")) & (F.col("a._b") == F.col("b._b")) & (F.col("b._t") > F.col(f"a.{last}")) & (F.col("b._t") <= F.col(f"a.{last}") + F.make_dt_interval(secs=F.lit(width)))
