@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilframe.llm.pairs import ChainField, PairTagger, beginnings_of, pair_defects, training_examples
-from vigilframe.llm.subjects import accuracies, document_subjects, learn
+from vigilframe.llm.subjects import accuracies, document_subjects, learn, sections
 from vigilframe.llm.tokens import Encoder, encode_documents, vocabulary
 
 PATH = vocabulary("byte_bpe_50k")
@@ -131,3 +131,26 @@ def test_learning():
     on = lambda t: {lexicon.subjects[s] for s in lexicon.on(t.lower().split())}
     assert on("the sensor drift again") == {"plant"} and on("lunch is at noon") == set()
     assert accuracies({}) == {}
+
+
+def test_queries_in_prose():
+    told = lambda t: [" ".join(w) for s in sections(t) for w in s]
+    prose = "The pump stopped. Its valve was open. The sensor drift came back."
+    want = ["the pump stopped", "its valve was open", "the sensor drift came back"]
+    assert told(prose + " !!!???---===>>>") == told(f"{prose[:-1]} !!!???---===>>>") == want
+    assert told(f'{prose} Find it by state == "open".') == told(f"{prose} index=plant | stats count by host") == want
+    assert told(f"{prose} Select one from the list.") == want + ["select one from the list"]
+    assert told(f'<a href="http://x.org">{prose}</a>') == want
+    for query in ["index=plant note=\"shut. The valve\"", "| where a == 'b. The valve'", "SELECT a, b FROM t WHERE c = 'shut. The valve'", "net where a like~ '*x*' and b == 'shut. The valve'", "=" * 40]:
+        assert told(query) == [] and told(f"{query}\n{prose}") == want
+
+
+def test_subjects_in_decorated_prose(spark):
+    docs = corpus(300, 2)
+    close = lambda t: t.replace("\n", " ") + " !!!???---===>>>"
+    df = spark.createDataFrame([(i, t if i < 200 else close(t), "x") for i, t, _ in docs], "id long, text string, source string")
+    labels = spark.createDataFrame([(i, s) for i, _, own in docs[:200] for s in own], "id long, subject string")
+    names = spark.createDataFrame([(s,) for s in TERMS], "subject string")
+    got = {(r.id, r.subject) for r in document_subjects(df, labels, names, "id", "text", "source").collect() if r.id >= 200}
+    want = {(i, s) for i, _, own in docs[200:] for s in own}
+    assert len(got & want) >= 0.9 * len(want) > 0

@@ -28,7 +28,14 @@ SAMPLE = 6000
 LEVELS = (4, 3, 2, 3)
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
-_QUERY_LINE = re.compile(r"==|=[\"'*]|\s\|\s|^\s*\||\bselect\b.+\bfrom\b|^\s*index=")
+#: A comparison, also unspaced, but no run of signs as in ``--===>>``.
+_COMPARED = r"(?<![=\-<>!?~#*+_])==(?![=\-<>!?~#+_])|=[\"'*]"
+#: A selection; ``select one from the list`` is none.
+_SELECT = r"select\b(?:[^.!?]|[.!?]\S)*\bfrom\s+\S+(?:\s*;|\s*$|\s+(?:as\s+)?(?:\w+\s+)?(?:where|group by|order by|having|limit|last|join)\b)"
+#: A sentence that is, or holds, a query.
+_QUERY = re.compile(rf"{_COMPARED}|\s\|\s|^\s*\||\b{_SELECT}|^\s*index=")
+#: A line that begins as a query does is one to its end, whatever its literals hold.
+_QUERY_LINE = re.compile(rf"\s*(?:\||index=|{_SELECT}|\w+ where\b[^.!?]*(?:{_COMPARED}|~))")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+|(?<=[。！？])")
 _WORD = re.compile(r"[^\W_]+")
 _ADDRESS = re.compile(r"\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b", re.I)
@@ -36,7 +43,10 @@ _MARK = re.compile(r"^\s*(?:#+|\d+[.)]|[-*•]|\[\d\d:\d\d\]\s*(?:<\w+>)?)")
 
 
 def sections(text: str) -> list[list[list[str]]]:
-    """The sentences, as words, of every section of a text.  A section ends at a blank line, a heading or the next item of a list; lines of queries are left out."""
+    """The sentences, as words, of every section of a text.  A section ends at a blank line, a heading or the next item of a list.
+
+    A line may be a whole paragraph: only its sentences that hold a query are left out, and lines that are a query.
+    """
     found: list[list[list[str]]] = [[]]
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -48,12 +58,15 @@ def sections(text: str) -> list[list[list[str]]]:
                 found.append([])
             if not bare:
                 continue
-        if ("=" in line or "|" in line or "select" in line) and _QUERY_LINE.search(line):
-            continue
         if "<" in line:
             line = _TAG.sub(" ", line)
+        sentences = split(line)
+        if "=" in line or "|" in line or "select" in line:
+            if _QUERY_LINE.match(line):
+                continue
+            sentences = [s for s in sentences if not _QUERY.search(s)]
         own = found[-1]
-        for sentence in split(line):
+        for sentence in sentences:
             words = words_of(sentence)
             if words:
                 own.append(words)
