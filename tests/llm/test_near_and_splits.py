@@ -48,6 +48,22 @@ def test_groups_and_hot_copies(spark):
     assert groups[399] == (0, 0, 1) and groups[900] == (900, 0, 1) and groups[901] == (901, 901, 0)
 
 
+def test_alike_by_common_words_only(spark):
+    rng = random.Random(5)
+    common = [f"common{k}" for k in range(60)]
+    rare = lambda n: [f"r{rng.getrandbits(60):x}" for _ in range(n)]
+    rows = [" ".join(rng.sample(common, 9) + rare(12)) for _ in range(800)]
+    for _ in range(40):
+        own = rng.sample(common, 9)
+        rows += [" ".join(own + rare(3)), " ".join(own + rare(3))]  # rare words on both sides
+        own = rng.sample(common, 9)
+        rows += [" ".join(own), " ".join(own + rare(6))]  # inserted in one text
+    rows = list(enumerate(rows))
+    want = brute(rows, 0.6)
+    got = {tuple(r) for r in document_pairs(*near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t"), 0.6)).collect()}
+    assert len(want) >= 80 and got <= want and len(want - got) <= 0.03 * len(want)
+
+
 def test_empty_table(spark):
     members, links = near_duplicates(spark.createDataFrame([], "id long, t string"), "id", F.col("t"))
     assert document_pairs(members, links).count() == 0 and near_duplicate_groups(members, links).count() == 0

@@ -8,9 +8,9 @@ Darts: every word owns a fixed random stream of darts (rank, height, coordinate)
 rank.  A text throws the darts of its words whose height is under the word's weight, up to a rank at
 which it expects k ln k + 2k of them, and keeps the first dart of each of k coordinates; a text that
 misses a coordinate goes on to higher ranks.  Two texts have the same first dart with a probability
-equal to their weighted similarity.  Bands of two coordinates are joined.  Texts made
-almost only of common words, whose likeness the weights would not show, are also signed with equal
-weights, in bands of four.  Each banded row carries a
+equal to their weighted similarity.  Bands of two coordinates are joined.  Two texts may
+be alike by their common words alone, which the weights would not show, and nothing in one text tells
+whether it has such a partner: every text is also signed with equal weights, in bands of four.  Each banded row carries a
 small bitmap of its words from which a lower bound of the difference follows, so that a pair goes on
 only if it may reach the threshold; the exact similarity of the word sets decides at the end.
 """
@@ -32,9 +32,6 @@ from vigilframe.llm.words import words
 
 BANDS, ROWS = 16, 2
 PLAIN_BANDS, PLAIN_ROWS = 40, 4
-#: Texts with a smaller share of words of at least RARE_WEIGHT are also signed with equal weights.  Two texts with the
-#: same common words and no other in common reach a similarity of 0.6 only below a share of a quarter.
-RARE_WEIGHT, RARE_SHARE = 0.25, 0.25
 #: A word in a smaller share of the texts has full weight.  Only more common ones are sent to the workers: at most words per text / RARE.
 RARE = 1e-5
 LEAST_WEIGHT = 1 / 512
@@ -222,12 +219,7 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
                     w[same] = weight[place[same]]
                 m0, m1 = _bitmap(offsets, tokens)
                 yield rows(ids, m0, m1, signatures(offsets, tokens, w, bands * ROWS), bands, 0)
-                plain = np.nonzero(np.add.reduceat(w >= RARE_WEIGHT, offsets[:-1], dtype=np.int64) < RARE_SHARE * np.diff(offsets))[0]
-                if len(plain):
-                    own = np.concatenate([np.arange(offsets[x], offsets[x + 1]) for x in plain])
-                    short = np.concatenate(([0], np.cumsum(np.diff(offsets)[plain])))
-                    equal = signatures(short, tokens[own], np.ones(len(own)), PLAIN_BANDS * PLAIN_ROWS)
-                    yield rows(ids[plain], m0[plain], m1[plain], equal, PLAIN_BANDS, 1)
+                yield rows(ids, m0, m1, signatures(offsets, tokens, np.ones(len(tokens)), PLAIN_BANDS * PLAIN_ROWS), PLAIN_BANDS, 1)
 
     banded = heads.select("id", "words").mapInArrow(sign, "key long, id long, m0 long, m1 long").repartition("key").sortWithinPartitions("key")
 
