@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vigilframe.llm.pairs import ChainField, PairTagger, beginnings_of, pair_defects, training_examples
+from vigilframe.llm.pairs import ChainField, PairTagger, beginnings_of, blank, pair_defects, training_examples
 from vigilframe.llm.subjects import accuracies, document_subjects, learn, sections
 from vigilframe.llm.tokens import Encoder, encode_documents, vocabulary
 
@@ -91,6 +91,11 @@ def test_pair_defects(spark):
     assert pair_defects(df.filter("id = -1"), "id", "q", "h", "ref").count() == 0
 
 
+def test_long_responses_without_content():
+    assert blank("<br/>" * 1000) and blank(" " * 2000 + "TBD" + "\u200b" * 2000) and blank("```\n" * 900 + "<!-- -->") and blank("\n" * 5000)
+    assert not blank("<br/>" * 1000 + "index=plant") and not blank("TBD " * 1000)
+
+
 TERMS = {"law": ["data subject", "court order", "privacy notice"], "plant": ["pump station", "sensor drift", "ladder program"], "crypto": ["trust anchor", "key escrow", "salted hash"]}
 
 

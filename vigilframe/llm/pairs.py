@@ -100,8 +100,6 @@ def blank(text: str | None) -> bool:
     """Whether a response holds only white space, invisible characters, markup or a placeholder."""
     if text is None:
         return True
-    if len(text) > 2000:
-        return not text.strip()
     left = _BARE_TAG.sub(" ", _FENCE.sub(" ", _INVISIBLE.sub("", text)))
     words = "".join(_ALNUM.findall(left)).lower()
     return not words or words in _PLACEHOLDERS
