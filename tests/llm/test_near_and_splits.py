@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigilframe.llm.neardup import document_pairs, near_duplicate_groups, near_duplicates, signatures
+from vigilframe.llm.neardup import document_pairs, near_duplicate_groups, near_duplicates, prefix_keys, signatures
 from vigilframe.llm.splits import assign_splits, connected_components, entity_components, linking_pairs
 
 
@@ -64,6 +64,74 @@ def test_alike_by_common_words_only(spark):
     assert len(want) >= 80 and got <= want and len(want - got) <= 0.03 * len(want)
 
 
+def _edit(rng, common, kind):
+    """Two texts of similarity 0.6 or more: (common words alike, of them different, rare alike, rare of the first, rare of the second)."""
+    alike, apart, same, first, second = kind
+    rare = lambda n: [f"r{rng.getrandbits(60):x}" for _ in range(n)]
+    own, both = rng.sample(common, alike + 2 * apart), rare(same)
+    return own[: alike + apart] + both + rare(first), own[:alike] + own[alike + apart :] + both + rare(second)
+
+
+EDITS = {
+    "5 rare inserted beside 12 common": (12, 0, 0, 0, 5),
+    "4 rare inserted beside 6 common": (6, 0, 0, 0, 4),
+    "2 rare of 8 replaced": (6, 0, 0, 2, 2),
+    "3 rare of 12 replaced": (9, 0, 0, 3, 3),
+    "common words only, at the threshold": (12, 4, 0, 0, 0),
+    "common and rare replaced, some rare alike": (20, 2, 2, 2, 2),
+    "mostly rare, 3 replaced": (4, 0, 8, 3, 3),
+}
+
+
+@pytest.fixture(scope="module")
+def edited(spark):
+    rng = random.Random(5)
+    common = [f"common{k}" for k in range(60)]
+    rows = [" ".join(_edit(rng, common, (9, 0, 0, 12, 0))[0]) for _ in range(1500)]
+    pairs = {}
+    for name, kind in EDITS.items():
+        pairs[name] = []
+        for _ in range(60):
+            pairs[name].append((len(rows), len(rows) + 1))
+            rows += [" ".join(t) for t in _edit(rng, common, kind)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, t string")
+    return pairs, {tuple(r) for r in document_pairs(*near_duplicates(df, "id", F.col("t"), 0.6)).collect()}
+
+
+@pytest.mark.parametrize("name", EDITS)
+def test_recall_by_edit(edited, name):
+    pairs, got = edited
+    assert sum(p in got for p in pairs[name]) >= 0.95 * len(pairs[name])
+
+
+def test_hot_band_values(spark):
+    # a third of the texts has the same common words, and other rare ones: their bands are hot, though few of them are alike
+    rng = random.Random(3)
+    common = [f"common{k}" for k in range(60)]
+    rare = lambda n: [f"r{rng.getrandbits(60):x}" for _ in range(n)]
+    rows = [" ".join(common[:10] + rare(9)) for _ in range(500)] + [" ".join(rng.sample(common, 10) + rare(9)) for _ in range(700)]
+    rows += [" ".join(t.split()[:12] + t.split()[14:]) for t in rows[:60] + rows[600:650]] + [" ".join(common[:10] + rare(2)) for _ in range(12)]
+    rows = list(enumerate(rows))
+    want = brute(rows, 0.6)
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {tuple(r) for r in document_pairs(*near_duplicates(df, "id", F.col("t"), 0.6, block=40)).collect()}
+    assert len(want) >= 150 and got <= want and len(want - got) <= 0.01 * len(want)
+
+
+def test_prefix_keys():
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(60), rng.randint(1, 40))) for _ in range(60)] + [sorted(rng.sample(range(40), 30)) for _ in range(40)]
+    offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    tokens = np.concatenate([np.array(s) for s in sets])
+    for t in (0.6, 0.8):
+        keys = [set() for _ in sets]
+        for i, k in zip(*prefix_keys(offsets, tokens, 1 / (1 + tokens % 7), t)):
+            keys[i].add(int(k))
+        for a, b in combinations(range(len(sets)), 2):
+            if len(set(sets[a]) & set(sets[b])) >= t * len(set(sets[a]) | set(sets[b])):
+                assert keys[a] & keys[b]
+
+
 def test_empty_table(spark):
     members, links = near_duplicates(spark.createDataFrame([], "id long, t string"), "id", F.col("t"))
     assert document_pairs(members, links).count() == 0 and near_duplicate_groups(members, links).count() == 0

@@ -1,18 +1,29 @@
 """Near-duplicate texts by weighted minwise signatures made of hashed darts, and banded joining.
 
 A text is the set of its distinct words.  Texts with equal sets form a class; everything below works on
-one representative a class.  Rare words weigh most: a word's weight falls with the share of texts that
-have it, so that texts made from the same phrases don't meet in the bands.
+one representative a class.
 
 Darts: every word owns a fixed random stream of darts (rank, height, coordinate) with unit rate per
 rank.  A text throws the darts of its words whose height is under the word's weight, up to a rank at
 which it expects k ln k + 2k of them, and keeps the first dart of each of k coordinates; a text that
 misses a coordinate goes on to higher ranks.  Two texts have the same first dart with a probability
-equal to their weighted similarity.  Bands of two coordinates are joined.  Two texts may
-be alike by their common words alone, which the weights would not show, and nothing in one text tells
-whether it has such a partner: every text is also signed with equal weights, in bands of four.  Each banded row carries a
-small bitmap of its words from which a lower bound of the difference follows, so that a pair goes on
-only if it may reach the threshold; the exact similarity of the word sets decides at the end.
+equal to their weighted similarity.
+
+A word's weight falls with the share of texts that have it, and the words are taken in two parts: if a
+pair reaches a similarity, then the rare words or the common words of the two reach it by themselves
+(the similarity of the whole lies between those of the parts).  So a text is signed twice:
+
+* by all its words, the rare ones weighing most, in bands of two darts;
+* by its common words alone, in bands of as many darts as it takes until hardly any text would have them
+  all by chance.  That finds texts whose rare words were inserted or replaced.  Texts with next to no rare
+  words have further, shorter bands.
+
+Each banded row carries a small bitmap of its words from which a lower bound of the difference follows, so
+that a pair goes on only if it may reach the threshold; the exact similarity of the word sets decides at the end.
+
+A band value that a sample shows to be hot isn't shuffled.  Its texts are keyed by their rarest words
+and sizes instead, so many that two texts that reach the threshold have one in common (prefix filter), so
+nothing is lost and no task holds a hot value.
 """
 
 from __future__ import annotations
@@ -30,8 +41,17 @@ from vigilframe.durable import cut, spread
 from vigilframe.llm.splits import connected_components
 from vigilframe.llm.words import words
 
-BANDS, ROWS = 16, 2
-PLAIN_BANDS, PLAIN_ROWS = 40, 4
+BANDS, ROWS = 14, 2
+#: Bands of the common words, and the darts at hand for one.
+COMMON_BANDS, COMMON_ROWS = 12, 6
+#: Further bands, of so many darts, for texts with fewer than FEW_RARE rare words to a common one.
+FEW_BANDS, FEW_ROWS, FEW_RARE = 28, 4, 0.2
+#: A word of at least this weight counts as rare.
+RARE_WEIGHT = 0.25
+#: A band of common words ends when so many texts would be expected to have its darts' words.
+BY_CHANCE = 4
+#: Texts from which hot band values are told, and how often one must occur among them.
+HOT_SAMPLE, HOT_LEAST = 50_000, 10
 #: A word in a smaller share of the texts has full weight.  Only more common ones are sent to the workers: at most words per text / RARE.
 RARE = 1e-5
 LEAST_WEIGHT = 1 / 512
@@ -53,14 +73,14 @@ def _exponential() -> np.ndarray:
     return -np.log1p(-(np.arange(1 << 16) + 0.5) / (1 << 16))
 
 
-def signatures(offsets: np.ndarray, tokens: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+def signatures(offsets: np.ndarray, tokens: np.ndarray, weights: np.ndarray, k: int, marks: np.ndarray | None = None) -> np.ndarray:
     """First darts (rank and name in one number) of k coordinates for texts given as runs of words.
 
     offsets: where each text's words begin and the last end; every text has at least one word.
+    marks: a number below 64 for each word, which its darts then carry in their lowest six bits.
     """
     n = len(offsets) - 1
     best = np.full(n * k, np.iinfo(np.uint64).max, np.uint64)
-    text_of = np.repeat(np.arange(n), np.diff(offsets))
     total = np.add.reduceat(weights, offsets[:-1]) if n else np.zeros(0)
     wanted = (k * math.log(k) + 2 * k) / total
     todo = np.arange(n)
@@ -73,7 +93,7 @@ def signatures(offsets: np.ndarray, tokens: np.ndarray, weights: np.ndarray, k:
             group = todo[level == lv]
             upto = float(2.0**lv)
             for part in np.array_split(group, max(1, int(len(group) * upto / 300_000))):
-                _throw(best, part, reach, upto, text_of, offsets, tokens, weights, k)
+                _throw(best, part, reach, upto, offsets, tokens, weights, k, marks)
                 got = (best.reshape(n, k)[part] != np.iinfo(np.uint64).max).all(1)
                 left.append(part[~got])
         todo = np.concatenate(left) if left else np.zeros(0, int)
@@ -81,7 +101,7 @@ def signatures(offsets: np.ndarray, tokens: np.ndarray, weights: np.ndarray, k:
     return best.reshape(n, k)
 
 
-def _throw(best: np.ndarray, texts: np.ndarray, reach: np.ndarray, upto: float, text_of: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, weights: np.ndarray, k: int) -> None:
+def _throw(best: np.ndarray, texts: np.ndarray, reach: np.ndarray, upto: float, offsets: np.ndarray, tokens: np.ndarray, weights: np.ndarray, k: int, marks: np.ndarray | None) -> None:
     length = offsets[texts + 1] - offsets[texts]
     at = np.repeat(offsets[texts] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
     word, place = np.unique(tokens[at], return_inverse=True)
@@ -116,7 +136,12 @@ def _throw(best: np.ndarray, texts: np.ndarray, reach: np.ndarray, upto: float,
     spread = np.repeat(first[w] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
     text = owner[spread]
     # the rank to 2^-16 in the upper half, the dart's name in the lower
-    dart = (np.minimum(r * 65536.0, 4.29e9).astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
+    name = h >> np.uint64(32)
+    if marks is not None:
+        mark = np.zeros(len(word), np.uint64)
+        mark[place] = marks[at]
+        name = (name & np.uint64(0xFFFFFFC0)) | mark[w]
+    dart = (np.minimum(r * 65536.0, 4.29e9).astype(np.uint64) << np.uint64(32)) | name
     coordinate = (h & np.uint64(0xFFFFFF)) % np.uint64(k)
     slot = text * k + np.repeat(coordinate.astype(np.int64), many)
     dart, r = np.repeat(dart, many), np.repeat(r, many)
@@ -129,8 +154,8 @@ def word_sets(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.shiftright(F.xxhash64(w), 32).cast("int"))))
 
 
-def word_weights(sets: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.ndarray]:
-    """Words in at least the share ``rare`` of all different texts, sorted, and their weights: 1 for a word of one text, falling with its share."""
+def word_weights(sets: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Words in at least the share ``rare`` of all different texts, sorted, their weights - 1 for a word of one text, falling with its share -, their shares, and the number of texts."""
     n = sets.count()
     counts = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     common = counts.filter((F.col("df") >= max(2.0, n * rare))).toArrow()
@@ -138,7 +163,7 @@ def word_weights(sets: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.nd
     share = common.column("df").to_numpy() / max(n, 1)
     weight = np.clip((np.log(1 / share) / math.log(max(min(1 / rare, n), 2))) ** 3, LEAST_WEIGHT, 1.0) if len(word) else np.zeros(0)
     order = np.argsort(word)
-    return word[order], weight[order]
+    return word[order], weight[order], share[order], n
 
 
 def _bitmap(offsets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,14 +203,128 @@ def _pairs_of_runs(key: np.ndarray, rows: list[np.ndarray], threshold: float) ->
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _starts(length: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(length))).astype(np.int64)
+
+
+def _seeded(n: int, bands: int, kind: int) -> np.ndarray:
+    return np.full((n, bands), kind, np.uint64) + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+
+
+def fixed_bands(first: np.ndarray, bands: int, kind: int) -> np.ndarray:
+    """Band values (texts x bands) of ``bands`` equal runs of darts."""
+    key = _mix(_seeded(len(first), bands, kind))
+    for r in range(first.shape[1] // bands):
+        key = _mix(key + first[:, r :: first.shape[1] // bands])
+    return key
+
+
+def grown_bands(first: np.ndarray, bands: int, need: float, kind: int) -> np.ndarray:
+    """Band values of runs of darts that end, after two at least, when the marks of their words (thirds of a bit) come to ``need`` bits."""
+    per = first.shape[1] // bands
+    key = _mix(_seeded(len(first), bands, kind))
+    bits = np.zeros(key.shape)
+    for r in range(per):
+        dart = first[:, r::per]
+        on = (bits < need) | (r < 2)
+        key = np.where(on, _mix(key + dart), key)
+        bits += (dart & np.uint64(63)).astype(float) / 3
+    return key
+
+
+def _size_class(n: np.ndarray) -> np.ndarray:
+    """Sizes to 16 by themselves, greater ones by quarters."""
+    return np.where(n <= 16, n, 16 + np.floor(np.log(np.maximum(n, 16) / 16) / math.log(1.25))).astype(np.int64)
+
+
+def prefix_keys(offsets: np.ndarray, tokens: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) so that two texts that reach the threshold have a key in common: their rarest words with both sizes.
+
+    Of two texts of n and m words that share at least o, each has one of the shared words among its
+    rarest n - o + 1 or m - o + 1, the order being the same for both.  o follows from the sizes.
+    """
+    length = np.diff(offsets)
+    order = np.lexsort((tokens, -weights, np.repeat(np.arange(len(length)), length)))
+    ranked = tokens[order].astype(np.uint64)
+    texts, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in np.unique(length):
+        own = np.nonzero(length == n)[0]
+        m = np.arange(math.ceil(threshold * n - 1e-9), math.floor(n / threshold + 1e-9) + 1)
+        mine = int(_size_class(np.array([n]))[0])
+        for c, least in zip(*(x.tolist() for x in np.unique(_size_class(m), return_index=True))):
+            shared = math.ceil(threshold / (1 + threshold) * (n + int(m[least])) - 1e-9)
+            upto = int(n) - shared + 1
+            if upto < 1:
+                continue
+            at = offsets[own][:, None] + np.arange(upto)[None, :]
+            pair = np.uint64(min(c, mine) << 20 | max(c, mine))
+            keys.append(_mix(_mix(ranked[at.ravel()] + np.uint64(0x5851F42D4C957F2D)) + pair))
+            texts.append(np.repeat(own, upto))
+    return np.concatenate(texts), np.concatenate(keys)
+
+
+class _Signer:
+    """Band values of texts given as runs of words.  known, weight, share: the words that aren't rare, of n texts."""
+
+    def __init__(self, known: np.ndarray, weight: np.ndarray, share: np.ndarray, n: int, bands: int) -> None:
+        self.known, self.bands = known, bands
+        self.weight = weight
+        self.milder = np.clip(np.log(1 / np.maximum(share, 1e-12)) / math.log(max(n, 3)), 0.02, 1.0)
+        self.mark = np.minimum(np.floor(3 * np.log2(1 / np.maximum(share, 1e-12))), 63).astype(np.uint64)
+        self.need = math.log2(max(n / BY_CHANCE, 2))
+
+    def look(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, places among the known words, -1 for others)"""
+        place = np.full(len(tokens), -1)
+        w = np.ones(len(tokens))
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, tokens), len(self.known) - 1)
+            same = self.known[at] == tokens
+            place[same] = at[same]
+            w[same] = self.weight[at[same]]
+        return w, place
+
+    def keys(self, offsets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, key, weights of the words)"""
+        w, place = self.look(tokens)
+        rare = (w >= RARE_WEIGHT) | (place < 0)
+        n_rare = np.add.reduceat(rare, offsets[:-1], dtype=np.int64)
+        n_common = np.diff(offsets) - n_rare
+        texts, keys = [], []
+
+        def add(chosen: np.ndarray, of: np.ndarray) -> None:
+            texts.append(np.repeat(chosen, of.shape[1]))
+            keys.append(of.ravel())
+
+        def part(chosen: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            inside = np.zeros(len(n_rare), bool)
+            inside[chosen] = True
+            at = np.nonzero(words & np.repeat(inside, np.diff(offsets)))[0]
+            return _starts(np.add.reduceat(words, offsets[:-1], dtype=np.int64)[chosen]), at
+
+        some = np.nonzero(n_rare > 0)[0]
+        if len(some):
+            own, at = part(some, np.ones(len(tokens), bool))
+            add(some, fixed_bands(signatures(own, tokens[at], w[at], self.bands * ROWS), self.bands, 0))
+        usual = np.nonzero(n_common > 0)[0]
+        if len(usual):
+            own, at = part(usual, ~rare)
+            add(usual, grown_bands(signatures(own, tokens[at], self.milder[place[at]], COMMON_BANDS * COMMON_ROWS, self.mark[place[at]]), COMMON_BANDS, self.need, 1))
+        few = np.nonzero(n_rare < FEW_RARE * n_common)[0]
+        if len(few):
+            own, at = part(few, ~rare)
+            add(few, fixed_bands(signatures(own, tokens[at], np.ones(len(at)), FEW_BANDS * FEW_ROWS), FEW_BANDS, 2))
+        return np.concatenate(texts), np.concatenate(keys), w
+
+
 def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float = 0.8, bands: int = BANDS, rare: float = RARE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the texts whose sets of distinct words reach the similarity ``threshold``.
 
     members: id, class - the least id with the same set of words.  Texts without words (null, empty, only
     marks) are in no class and have no row.  links: class_a < class_b, similarity - pairs of classes, each
-    once, with the exact similarity.  A hot class of copies is one row from the first aggregation on; a
-    band value with more than ``block`` rows is compared block against block in tasks of their own, so no
-    pair is left out.  Ids must be unique integers.  An empty table gives two empty frames.
+    once, with the exact similarity.  A hot class of copies is one row from the first aggregation on; the texts
+    of a hot band value are keyed by their rarest words before the shuffle, and a value that still has more than
+    ``block`` rows is compared block against block in tasks of their own, so no pair is left out.  Ids must be unique integers.  An empty table gives two empty frames.
     """
     texts = spread(df.select(F.col(id_col).cast("long").alias("id"), text.alias("text")))
     sets = texts.select("id", word_sets(F.col("text")).alias("words")).filter(F.size("words") > 0)
@@ -193,35 +332,49 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
     heads = cut(keyed.groupBy("set").agg(F.min(F.struct("id", "words")).alias("h")).select("set", "h.id", "h.words"))
     members = cut(keyed.select("id", "set").join(heads.select("set", F.col("id").alias("class")), "set").select(F.col("id").alias(id_col), "class"))
     spark = df.sparkSession
-    common = spark.sparkContext.broadcast(word_weights(heads, rare))
-
-    def rows(ids, m0, m1, first, bands, kind) -> pa.RecordBatch:
-        key = np.full((len(ids), bands), kind, np.uint64)
-        per = first.shape[1] // bands
-        for r in range(per):
-            key = _mix(key + first[:, r::per] + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
-        wide = lambda x: pa.array(np.repeat(x.view(np.int64), bands))
-        return pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), wide(ids), wide(m0), wide(m1)], names=["key", "id", "m0", "m1"])
+    known, weight, share, n = word_weights(heads, rare)
+    common = spark.sparkContext.broadcast((known, weight, share, n, bands))
+    cores = heads.select("id", "words")
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weight = common.value
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
                 part = batch.slice(at, 5000)
-                ids = part.column(0).to_numpy()
                 lists = part.column(1)
-                tokens = lists.flatten().to_numpy(zero_copy_only=False)
-                offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
-                w = np.ones(len(tokens))
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-                    same = known[place] == tokens
-                    w[same] = weight[place[same]]
-                m0, m1 = _bitmap(offsets, tokens)
-                yield rows(ids, m0, m1, signatures(offsets, tokens, w, bands * ROWS), bands, 0)
-                yield rows(ids, m0, m1, signatures(offsets, tokens, np.ones(len(tokens)), PLAIN_BANDS * PLAIN_ROWS), PLAIN_BANDS, 1)
-
-    banded = heads.select("id", "words").mapInArrow(sign, "key long, id long, m0 long, m1 long").repartition("key").sortWithinPartitions("key")
+                yield part.column(0).to_numpy(), _starts(lists.value_lengths().to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = _Signer(*common.value)
+        for _, offsets, tokens in runs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(signer.keys(offsets, tokens)[1].view(np.int64))], names=["key"])
+
+    hot = np.zeros(0, np.int64)
+    if n > block:  # else no value can have more rows than that
+        taken = min(1.0, HOT_SAMPLE / n)
+        sample = cores.filter(F.pmod(F.xxhash64(F.lit("hot"), "id"), F.lit(1 << 30)) < F.lit(int(taken * (1 << 30))))
+        often = F.count("*") >= F.lit(max(HOT_LEAST, int(block * taken)))
+        # at most the sample's bands / HOT_LEAST values
+        hot = np.sort(sample.mapInArrow(values, "key long").groupBy("key").agg(often.alias("hot")).filter("hot").select("key").toArrow().column("key").to_numpy())
+    hot_values = spark.sparkContext.broadcast(hot.view(np.uint64))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, hot = _Signer(*common.value), hot_values.value
+        for ids, offsets, tokens in runs(batches):
+            m0, m1 = _bitmap(offsets, tokens)
+            text, key, w = signer.keys(offsets, tokens)
+            if len(hot):
+                burnt = np.isin(key, hot)
+                mine = np.unique(text[burnt])
+                text, key = text[~burnt], key[~burnt]
+                if len(mine):
+                    at = np.concatenate([np.arange(offsets[x], offsets[x + 1]) for x in mine])
+                    which, more = prefix_keys(_starts(np.diff(offsets)[mine]), tokens[at], w[at], threshold)
+                    text, key = np.concatenate((text, mine[which])), np.concatenate((key, more))
+            for part in np.array_split(np.arange(len(text)), max(1, len(text) // 200_000)):
+                x = text[part]
+                yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(ids[x]), pa.array(m0[x].view(np.int64)), pa.array(m1[x].view(np.int64))], names=["key", "id", "m0", "m1"])
+
+    banded = cores.mapInArrow(sign, "key long, id long, m0 long, m1 long").repartition("key").sortWithinPartitions("key")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # pairs: key null; rows of a band value beyond ``block``: with their key and block
