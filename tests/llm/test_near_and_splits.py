@@ -206,3 +206,12 @@ def test_linking_pairs(spark):
     df = spark.createDataFrame(rows, "id long, q string, f string")
     assert sorted(tuple(r) for r in linking_pairs(df, "id", F.col("q"), F.col("f")).collect()) == [(1, 2), (2, 3)]
     assert linking_pairs(df.filter("id > 9"), "id", F.col("q"), F.col("f")).count() == 0
+
+
+def test_linking_pairs_of_a_hot_value(spark, monkeypatch):
+    monkeypatch.setattr("vigilframe.llm.splits.PAIR_BLOCK", 10)
+    rows = [(i, "hot", "AB"[i % 20 == 0]) for i in range(200)] + [(i, f"q{i}", "C") for i in range(200, 260)]
+    df = spark.createDataFrame(rows + [(0, "hot", "B")], "id long, q string, f string").withColumn("_k", F.lit(1)).withColumn("node", F.lit("x"))
+    got = [tuple(r) for r in linking_pairs(df, "id", F.col("q"), F.col("f")).collect()]
+    want = [(a, b) for (a, p, f), (b, q, g) in combinations(rows, 2) if p == q and f != g]
+    assert len(set(got)) == len(want) and set(got) == set(want)
