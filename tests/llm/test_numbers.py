@@ -31,6 +31,30 @@ def test_quotas_follow_margins():
     assert quotas(np.zeros((2, 2), int), [np.zeros(2), np.zeros(2)], 0).sum() == 0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_margins_are_met_where_they_can_be(seed):
+    # margins of a table within the counts: so one exists, however tight the counts are
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, 40, (5, 3, 4))
+    held = rng.binomial(counts, rng.choice([0.3, 0.9]))
+    others = [(1, 2), (0, 2), (0, 1)]
+    wanted = [held.sum(o).astype(float) for o in others]
+    q = quotas(counts, wanted, int(held.sum()))
+    assert (q >= 0).all() and (q <= counts).all() and q.sum() == held.sum()
+    assert all((q.sum(o) == w).all() for o, w in zip(others, wanted))
+
+
+def test_report_of_what_is_drawn(spark):
+    # all rows of x are in a: 60 of a and 60 of y can't be had together
+    rows = [(i, "a", "x") for i in range(60)] + [(i, "b", "y") for i in range(60, 120)]
+    targets = spark.createDataFrame([("u", "a", 0.9, 0), ("u", "b", 0.1, 0), ("v", "x", 0.1, 0), ("v", "y", 0.9, 0)], TARGETS)
+    df = categorised(spark.createDataFrame(rows, "id long, u string, v string"), targets, {"u": F.col("u"), "v": F.col("v")}, ["id"])
+    report = {r.category: r for r in proportional_sample(df, targets, "id", ["u", "v"], 0.5)[1].collect()}
+    assert not any(r.scarce for r in report.values())
+    assert report["a"].unmet or report["y"].unmet
+    assert all(r.unmet == (r.drawn < r.target_share * 60) for r in report.values())
+
+
 def test_sample(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a", "a", "a", "b"]), rng.choice(["x", "y", None])) for i in range(4000)] + [(5000, "c", "x"), (5000, "c", "x")]
@@ -98,9 +122,13 @@ def test_number_rows(spark):
 
 
 def test_water_fill():
-    given = water_fill({"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.0}, {"a": 10, "b": 1000, "c": 1000, "d": 5}, {"a": 2, "b": 1, "c": 1, "d": 9}, 200)
-    assert given == {"a": 20, "b": pytest.approx(108), "c": pytest.approx(72), "d": 0}
-    assert sum(water_fill({"a": 1.0}, {"a": 10}, {"a": 3}, 100).values()) == 30 and water_fill({}, {}, {}, 5) == {}
+    given, clamped = water_fill({"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.0}, {"a": 10, "b": 1000, "c": 1000, "d": 5}, {"a": 2, "b": 1, "c": 1, "d": 9}, 200)
+    assert given == {"a": 20, "b": pytest.approx(108), "c": pytest.approx(72), "d": 0} and clamped == {"a": 1}
+    # what a can't give takes b over its cap, too, but only in the second pass; e holds exactly its weight
+    given, clamped = water_fill({"a": 0.4, "b": 0.3, "c": 0.2, "e": 0.1}, {"a": 10, "b": 70, "c": 1000, "e": 20}, {"a": 1, "b": 1, "c": 1, "e": 1}, 200)
+    assert clamped == {"a": 1, "b": 2, "e": 2} and sum(given.values()) == pytest.approx(200)
+    assert water_fill({"x": 0.5, "y": 0.5}, {"x": 0, "y": 80}, {"x": 3, "y": 1}, 50) == ({"x": 0.0, "y": 50.0}, {"x": 1})
+    assert sum(water_fill({"a": 1.0}, {"a": 10}, {"a": 3}, 100)[0].values()) == 30 and water_fill({}, {}, {}, 5) == ({}, {})
 
 
 def test_mixture(spark):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,24 +15,33 @@ from vigilframe.durable import cut
 KEY_RANGES = 4096
 
 
-def water_fill(weight: dict[str, float], size: dict[str, int], repeats: dict[str, int], total: float) -> dict[str, float]:
-    """What each source gives: its weight's share of ``total``, at most size x repeats; what capped sources can't give goes to the others in proportion."""
+def water_fill(weight: dict[str, float], size: dict[str, int], repeats: dict[str, int], total: float) -> tuple[dict[str, float], dict[str, int]]:
+    """(what each source gives, the pass in which it was clamped).
+
+    A source gives its weight's share of ``total``, at most size x repeats.  In each pass the sources whose cap
+    lies below their share of what is left are clamped at it; what they can't give goes to the others in
+    proportion, until no more are clamped.  Pass 1 clamps those that can't give their own weight.
+    """
     cap = {s: float(max(size[s], 0) * max(repeats[s], 0)) for s in weight}
     given = {s: 0.0 for s in weight}
-    open_ = {s for s in weight if weight[s] > 0 and cap[s] > 0}
-    left = float(total)
+    clamped: dict[str, int] = {}
+    open_ = {s for s in weight if weight[s] > 0}
+    left, turn = float(total), 1
     while open_ and left > 0:
-        whole = sum(weight[s] for s in sorted(open_))
-        full = {s for s in open_ if left * weight[s] / whole >= cap[s]}
+        whole = math.fsum(weight[s] for s in open_)
+        if abs(whole - 1) < 1e-9:
+            whole = 1.0
+        share = {s: left * (weight[s] / whole) for s in open_}
+        full = {s for s in open_ if cap[s] < share[s]}
         if not full:
-            for s in open_:
-                given[s] = left * weight[s] / whole
+            given.update(share)
             break
         for s in full:
-            given[s] = cap[s]
-        left -= sum(cap[s] for s in sorted(full))
+            given[s], clamped[s] = cap[s], turn
+        left -= math.fsum(cap[s] for s in full)
         open_ -= full
-    return given
+        turn += 1
+    return given, clamped
 
 
 def source_sizes(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
@@ -44,9 +56,34 @@ def source_sizes(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
     return wanted.join(sizes, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))), total
 
 
+@dataclass(frozen=True)
+class Filling:
+    """One source of the mixture as water-filling leaves it."""
+
+    source: str
+    times: int
+    rest: float
+    wanted_tokens: float
+    capped: bool
+    clamped_in: int | None
+
+
+def filling(sizes: DataFrame, total: float) -> list[Filling]:
+    """Water-filling over the rows of ``source_sizes``, as many as there are targets."""
+    rows = sizes.orderBy("source").collect()
+    size = {r.source: int(r.tokens) for r in rows}
+    repeats = {r.source: int(r.max_repeats) for r in rows}
+    given, clamped = water_fill({r.source: max(r.weight, 0.0) for r in rows}, size, repeats, total)
+    plan = []
+    for s in size:
+        times = min(int(given[s] / size[s] + 1e-12), repeats[s]) if size[s] else 0
+        plan.append(Filling(s, times, given[s] - times * size[s] if times < repeats[s] else 0.0, given[s], given[s] >= size[s] * repeats[s], clamped.get(s)))
+    return plan
+
+
 def short_sources(sizes: DataFrame, total: int) -> DataFrame:
-    """The sources whose tokens, repeated as often as allowed, stay below their weight of the total."""
-    return sizes.filter(F.col("tokens") * F.col("max_repeats") < F.col("weight") * F.lit(float(total))).select("source")
+    """The sources whose tokens, repeated as often as allowed, stay below their weight of the total: those the first pass of water-filling clamps."""
+    return sizes.sparkSession.createDataFrame([(f.source,) for f in filling(sizes, total) if f.clamped_in == 1], "source string")
 
 
 def mixture(docs: DataFrame, targets: DataFrame, id_col: str, seed: int = 3, total: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -61,15 +98,7 @@ def mixture(docs: DataFrame, targets: DataFrame, id_col: str, seed: int = 3, tot
     """
     docs = cut(docs.select(id_col, "source", "tokens"))
     sizes, whole = source_sizes(docs, targets)
-    rows = sizes.orderBy("source").collect()  # as many as there are targets
-    size = {r.source: int(r.tokens) for r in rows}
-    repeats = {r.source: int(r.max_repeats) for r in rows}
-    sound = {r.source: max(r.weight, 0.0) for r in rows}
-    given = water_fill(sound, size, repeats, whole if total is None else total)
-    plan = []
-    for s in size:
-        times = min(int(given[s] / size[s] + 1e-12), repeats[s]) if size[s] else 0
-        plan.append((s, times, given[s] - times * size[s] if times < repeats[s] else 0.0, given[s], given[s] >= size[s] * repeats[s]))
+    plan = [(f.source, f.times, f.rest, f.wanted_tokens, f.capped) for f in filling(sizes, whole if total is None else total)]
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame(plan, "source string, times int, rest double, wanted_tokens double, capped boolean"))
     keyed = docs.join(table.select("source", "times", "rest"), "source").withColumn("_key", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40))).withColumn("_range", (F.col("_key") / F.lit((1 << 40) // KEY_RANGES)).cast("int"))

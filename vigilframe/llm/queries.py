@@ -13,7 +13,7 @@ from vigilframe.llm.neardup import document_pairs, near_duplicate_groups, near_d
 from vigilframe.llm.pairs import pair_defects
 from vigilframe.llm.pieces import long_texts, text_pieces
 from vigilframe.llm.ranking import Score, ideal_point_ranking
-from vigilframe.llm.sampling import categorised, category_report, cell_counts, json_field, label_key, proportional_sample
+from vigilframe.llm.sampling import categorised, json_field, label_key, proportional_sample
 from vigilframe.llm.splits import assign_splits, entity_components
 from vigilframe.llm.subjects import document_subjects
 from vigilframe.llm.tokens import encode_documents, vocabulary
@@ -100,11 +100,7 @@ def _categorised(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p5_found", oracle.P5_FOUND)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    from vigilframe.durable import cut
-
-    counts = cut(cell_counts(_categorised(spark, d), DIMS))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return category_report(counts, table(spark, d, "sample_targets"), DIMS, total // 5).filter("unmet").select("dim", "category")
+    return p5_report(spark, d).filter("scarce").select("dim", "category")
 
 
 @query("p5_sample")

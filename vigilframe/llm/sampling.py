@@ -1,9 +1,10 @@
 """A sample whose shares follow target proportions in several dimensions at once.
 
-Counts per cell (one category of each dimension) are raked to the target margins, never beyond the
-rows that are there.  The fractional quotas become whole numbers by controlled rounding: a maximum
-flow through rows and columns of a two-way table in which every cell and both margins go up or down
-by less than one.  Each cell then gives exactly its quota of rows, those with the least random keys.
+Counts per cell (one category of each dimension) are raked to whole target margins, never beyond the
+rows that are there: a category's factor is the one that meets its margin with its cells at their caps
+taken into account, so the margins are met wherever that can be.  The fractional quotas become whole numbers
+by controlled rounding: a maximum flow through rows and columns of a two-way table in which every cell goes
+up or down by less than one and the margins stay.  Each cell then gives exactly its quota of rows, those with the least random keys.
 Only the table of cells (bounded by the numbers of categories) is on the driver.
 """
 
@@ -24,6 +25,8 @@ from vigilframe.operators.jsontext import read
 
 #: Ranges of the random key in which rows of a cell are counted.
 KEY_RANGES = 1024
+#: What lies so near to a whole number counts as one.
+WHOLE = 1e-5
 OTHER = "(other)"
 
 
@@ -56,41 +59,53 @@ def json_field(df: DataFrame, json_col: str, key: str, name: str) -> DataFrame:
     return df.select(*others, json_col).mapInArrow(run, schema)
 
 
-def round_table(table: np.ndarray, columns: np.ndarray | None = None) -> np.ndarray:
+def round_table(table: np.ndarray, columns: np.ndarray | None = None, rows: np.ndarray | None = None, most: np.ndarray | None = None) -> np.ndarray:
     """Controlled rounding: whole numbers with every cell, row sum and column sum at its floor or ceiling.
 
-    columns: whole column sums to be met exactly (each at the floor or ceiling of its own sum).
-    The grand total is rounded to the nearest.  A maximum flow finds the table; one always exists, as the
-    fractional table itself is a flow within the bounds.
+    columns, rows: whole sums to be met exactly.  The grand total is that of the given sums, else rounded to the nearest.
+    A maximum flow finds the table; without given sums one always exists, as the fractional table itself is
+    a flow within the bounds.  Where given sums leave none, the cells get more and more room, up to
+    ``most``; sums that no table has give way to the nearest table by largest remainders.
     """
     table = np.asarray(table, float)
     near = np.rint(table)
-    table = np.where(np.abs(table - near) < 1e-6, near, table)
-    low = np.floor(table).astype(int)
-    r, c = table.shape
+    table = np.where(np.abs(table - near) < WHOLE, near, table)
     if not table.size:
-        return low
-    total = int(np.rint(table.sum()))
+        return table.astype(int)
+    r, c = table.shape
+    low, high = np.floor(table).astype(int), np.ceil(table).astype(int)
 
-    def bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        whole = np.abs(x - np.rint(x)) < 1e-6
+    def bounds(x: np.ndarray, given: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        if given is not None:
+            return np.asarray(given, int), np.asarray(given, int)
+        whole = np.abs(x - np.rint(x)) < WHOLE
         return np.where(whole, np.rint(x), np.floor(x)).astype(int), np.where(whole, np.rint(x), np.ceil(x)).astype(int)
 
-    row_low, row_high = bounds(table.sum(1))
-    col_low, col_high = bounds(table.sum(0)) if columns is None else (np.asarray(columns, int), np.asarray(columns, int))
+    row_low, row_high = bounds(table.sum(1), rows)
+    col_low, col_high = bounds(table.sum(0), columns)
+    total = int(np.sum(columns) if columns is not None else np.sum(rows) if rows is not None else np.rint(table.sum()))
     # nodes: 0 source, 1..r rows, r+1..r+c columns, r+c+1 sink, then the two ends for lower bounds
     sink, begin, end = r + c + 1, r + c + 2, r + c + 3
-    arcs = [(0, 1 + i, row_low[i], row_high[i]) for i in range(r)]
-    arcs += [(1 + i, 1 + r + j, low[i, j], low[i, j] + (table[i, j] > low[i, j])) for i in range(r) for j in range(c)]
-    arcs += [(1 + r + j, sink, col_low[j], col_high[j]) for j in range(c)]
-    arcs.append((sink, 0, total, total))
-    flow = _feasible(arcs, begin, end)
-    if flow is None:  # margins that don't agree: the nearest table by largest remainders
-        flat = np.argsort(-(table - low), axis=None, kind="stable")
-        out = low.copy().ravel()
-        out[flat[: max(0, total - int(low.sum()))]] += 1
-        return out.reshape(r, c)
-    return np.array(flow[r : r + r * c], int).reshape(r, c)
+    most = high if most is None else np.maximum(np.asarray(most, int), high)
+    room = 0
+    while True:
+        least, upto = np.maximum(low - room, 0), np.minimum(high + room, most)
+        arcs = [(0, 1 + i, row_low[i], row_high[i]) for i in range(r)]
+        arcs += [(1 + i, 1 + r + j, least[i, j], upto[i, j]) for i in range(r) for j in range(c)]
+        arcs += [(1 + r + j, sink, col_low[j], col_high[j]) for j in range(c)]
+        arcs.append((sink, 0, total, total))
+        flow = _feasible(arcs, begin, end)
+        if flow is not None:
+            return np.array(flow[r : r + r * c], int).reshape(r, c)
+        if (least == 0).all() and (upto == most).all():
+            break
+        room = 2 * room + 1
+    flat = np.argsort(-(table - low), axis=None, kind="stable")
+    out, free = low.copy().ravel(), (most - low).ravel()
+    short = max(0, total - int(low.sum()))
+    for k in flat[free[flat] > 0][:short]:
+        out[k] += 1
+    return out.reshape(r, c)
 
 
 def _feasible(arcs: list[tuple[int, int, int, int]], begin: int, end: int) -> list[int] | None:
@@ -163,25 +178,78 @@ def margin(share: np.ndarray, least: np.ndarray, there: np.ndarray, size: int) -
     return at(high)
 
 
-def quotas(counts: np.ndarray, wanted: list[np.ndarray], size: int) -> np.ndarray:
-    """Whole quotas for the cells ``counts`` (one axis per dimension), at most the rows there, ``size`` in sum where possible."""
-    size = min(size, int(counts.sum()))
-    x = counts.astype(float) * (size / max(1, counts.sum()))
+def _whole(wanted: np.ndarray, there: np.ndarray, size: int) -> np.ndarray:
+    """Whole margins next to ``wanted``, at most what is there, with the sum ``size`` if that can be."""
+    near = np.rint(wanted)
+    wanted = np.where(np.abs(wanted - near) < WHOLE, near, wanted)
+    out = np.minimum(np.floor(wanted), there).astype(int)
+    for k in np.argsort(-(wanted - np.floor(wanted)), kind="stable"):
+        if out.sum() < size and out[k] < there[k] and wanted[k] > out[k]:
+            out[k] += 1
+    return out
+
+
+def _factor(base: np.ndarray, caps: np.ndarray, wanted: float) -> float:
+    """f with sum(min(caps, f x base)) = wanted; the greatest needed where the caps don't allow it."""
+    on = base > 0
+    base, caps = base[on], caps[on].astype(float)
+    if wanted <= 0 or not len(base):
+        return 0.0
+    full = caps / base
+    order = np.argsort(full)
+    base, caps, full = base[order], caps[order], full[order]
+    capped = np.concatenate(([0.0], np.cumsum(caps)))[:-1]
+    open_ = np.cumsum(base[::-1])[::-1]
+    f = (wanted - capped) / open_
+    k = int(np.argmax(f <= full + 1e-15)) if (f <= full + 1e-15).any() else -1
+    return float(max(f[k], 0.0)) if k >= 0 else float(full[-1])
+
+
+def rake(counts: np.ndarray, wanted: list[np.ndarray], size: int, rounds: int = 3000) -> np.ndarray:
+    """Fractional quotas next to the shares in ``counts`` with the margins ``wanted``, no cell beyond its count.
+
+    Each step sets a category's factor so that its margin is met by min(count, product of factors); where
+    tables with these margins exist this comes as near to one as wanted.
+    """
     axes = range(counts.ndim)
-    for _ in range(500):
+    start = counts * (size / max(1, counts.sum()))
+    factors = [np.ones(n) for n in counts.shape]
+
+    def spread(k: int) -> np.ndarray:
+        return factors[k].reshape([-1 if a == k else 1 for a in axes])
+
+    for _ in range(rounds):
         worst = 0.0
         for k in axes:
-            others = tuple(a for a in axes if a != k)
-            have = x.sum(others)
-            factor = np.divide(wanted[k], have, out=np.ones_like(have), where=have > 0)
-            factor[wanted[k] <= 0] = 0
+            base = start.copy()
+            for a in axes:
+                if a != k:
+                    base = base * spread(a)
+            base, caps = np.moveaxis(base, k, 0), np.moveaxis(counts, k, 0)
+            have = np.minimum(base * factors[k].reshape([-1] + [1] * (counts.ndim - 1)), caps).reshape(len(factors[k]), -1).sum(1)
             worst = max(worst, float(np.abs(have - wanted[k]).max(initial=0)))
-            x = np.minimum(x * factor.reshape([-1 if a == k else 1 for a in axes]), counts)
-        if worst < 1e-6:
+            factors[k] = np.clip([_factor(base[i].ravel(), caps[i].ravel(), float(w)) for i, w in enumerate(wanted[k])], 0, 1e15)
+        if worst < WHOLE / 10:
             break
+    x = start
+    for k in axes:
+        x = x * spread(k)
+    return np.minimum(x, counts)
+
+
+def quotas(counts: np.ndarray, wanted: list[np.ndarray], size: int) -> np.ndarray:
+    """Whole quotas for the cells ``counts`` (one axis per dimension), at most the rows there, ``size`` in sum where possible.
+
+    Margins that some table within the counts has are met exactly, but for rounding.
+    """
+    size = min(size, int(counts.sum()))
+    axes = range(counts.ndim)
+    others = [tuple(a for a in axes if a != k) for k in axes]
+    wanted = [_whole(w, counts.sum(others[k]), size) for k, w in enumerate(wanted)]
+    x = rake(counts, wanted, size)
     for _ in range(50):  # what no labelled cell can give comes from where rows are left
         short = size - x.sum()
-        if short < 1e-9:
+        if short < WHOLE:
             break
         left = counts - x
         inside = left.copy()
@@ -189,13 +257,19 @@ def quotas(counts: np.ndarray, wanted: list[np.ndarray], size: int) -> np.ndarra
             inside = inside * (wanted[k] > 0).reshape([-1 if a == k else 1 for a in axes])
         left = inside if inside.sum() > 1e-9 else left
         x = np.minimum(x + left * min(1.0, short / max(left.sum(), 1e-12)), counts)
-    first, rest = x.shape[0], x.reshape(x.shape[0], -1)
-    if counts.ndim < 3:
-        columns = None
-    else:
-        columns = round_table(rest.sum(0).reshape(x.shape[1], -1)).ravel()
-    out = round_table(rest, columns).reshape(x.shape)
-    return np.minimum(out, counts)
+    # sums that came out as wanted are held exactly, others may go to the next whole number
+    held = [w if np.abs(x.sum(others[k]) - w).max(initial=0) < 0.5 and w.sum() == size else None for k, w in enumerate(wanted)]
+    if counts.ndim < 2:
+        return round_table(x.reshape(1, -1), held[0], None, counts.reshape(1, -1)).ravel() if counts.ndim else counts
+    # from the last two dimensions to the first: the sums of each table are those of the next
+    rounded = None
+    for k in reversed(range(counts.ndim - 1)):
+        table = x.sum(tuple(range(k))) if k else x
+        there = counts.sum(tuple(range(k))) if k else counts
+        flat = table.reshape(table.shape[0], -1)
+        columns = held[-1] if rounded is None else rounded.ravel()
+        rounded = round_table(flat, columns, held[k] if columns is None or held[k] is None or held[k].sum() == np.sum(columns) else None, there.reshape(flat.shape)).reshape(table.shape)
+    return rounded
 
 
 def cell_counts(rows: DataFrame, dims: list[str]) -> DataFrame:
@@ -209,10 +283,11 @@ def categorised(df: DataFrame, targets: DataFrame, dims: dict[str, Column], keep
 
 
 def category_report(counts: DataFrame, targets: DataFrame, dims: list[str], size: int, drawn: DataFrame | None = None) -> DataFrame:
-    """One row per category of ``targets``: rows there, rows wanted, rows drawn (if given) and whether the target can be met.
+    """One row per category of ``targets``: rows there, rows wanted, rows drawn (if given), and what can't be met.
 
-    counts, drawn: cells with n.  A target can't be met where there are fewer rows than min_rows or than
-    share x size.  A category without rows has 0; null shares and minima count as 0, targets without a name not at all.
+    counts, drawn: cells with n.  scarce: fewer rows are there than min_rows or than share x size.  unmet: scarce,
+    or fewer rows are drawn than min_rows or than share x size rounded down.  A category without rows has 0; null
+    shares and minima count as 0, targets without a name not at all.
     """
     def per(cells: DataFrame, name: str) -> DataFrame:
         stacked = cells.select("n", F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("category")) for d in dims))).alias("c"))
@@ -220,9 +295,12 @@ def category_report(counts: DataFrame, targets: DataFrame, dims: list[str], size
 
     wanted = targets.filter("dim is not null and category is not null").groupBy("dim", "category").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("target_share"), F.coalesce(F.max("min_rows"), F.lit(0)).alias("min_rows"))
     out = wanted.join(F.broadcast(per(counts, "available")), ["dim", "category"], "left").fillna(0, ["available"])
-    if drawn is not None:
-        out = out.join(F.broadcast(per(drawn, "drawn")), ["dim", "category"], "left").fillna(0, ["drawn"]).withColumn("drawn_share", F.col("drawn") / F.lit(float(max(size, 1))))
-    return out.withColumn("unmet", (F.col("available") < F.col("min_rows")) | (F.col("available") < F.col("target_share") * F.lit(float(size))))
+    goal = F.col("target_share") * F.lit(float(size))
+    out = out.withColumn("scarce", (F.col("available") < F.col("min_rows")) | (F.col("available") < goal))
+    if drawn is None:
+        return out.withColumn("unmet", F.col("scarce"))
+    out = out.join(F.broadcast(per(drawn, "drawn")), ["dim", "category"], "left").fillna(0, ["drawn"]).withColumn("drawn_share", F.col("drawn") / F.lit(float(max(size, 1))))
+    return out.withColumn("unmet", F.col("scarce") | (F.col("drawn") < F.col("min_rows")) | (F.col("drawn") < F.floor(goal + F.lit(1e-6))))
 
 
 def proportional_sample(rows: DataFrame, targets: DataFrame, id_col: str, dims: list[str], fraction: float = 0.2, seed: int = 11) -> tuple[DataFrame, DataFrame]:
@@ -243,6 +321,11 @@ def proportional_sample(rows: DataFrame, targets: DataFrame, id_col: str, dims:
     table = np.zeros([len(names[d]) for d in dims], int)
     for r in cells:
         table[tuple(names[d].index(r[d]) for d in dims)] = r.n
+    named = table.copy()
+    for k, d in enumerate(dims):
+        np.moveaxis(named, k, 0)[-1] = 0
+    if named.sum() >= size:
+        table = named  # rows without a category in some dimension aren't needed
     wanted = []
     for k, d in enumerate(dims):
         of = {r.category: r for r in goal if r.dim == d}
