@@ -3,9 +3,9 @@
 A text is the set of its distinct words.  Texts with equal sets form a class; everything below works on
 one representative a class.
 
-Darts: every word owns a fixed random stream of darts (rank, height, coordinate) with unit rate per
-rank.  A text throws the darts of its words whose height is under the word's weight, up to a rank at
-which it expects k ln k + 2k of them, and keeps the first dart of each of k coordinates; a text that
+Darts: every word owns a region as wide as its weight, and a fixed random stream of darts (rank,
+coordinate) into it, so many per rank as the region is wide.  A text throws the darts of its words up to a
+rank at which it expects k ln k + 2k of them, and keeps the first dart of each of k coordinates; a text that
 misses a coordinate goes on to higher ranks.  Two texts have the same first dart with a probability
 equal to their weighted similarity.
 
@@ -124,12 +124,10 @@ def _throw(best: np.ndarray, texts: np.ndarray, reach: np.ndarray, upto: float,
     base = _mix(word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     while len(alive):
         h = _mix(base[alive] + np.uint64(step * 0xD1B54A32D192ED03 % (1 << 64)))
-        rank = rank + exponential[(h & np.uint64(0xFFFF)).astype(np.int64)]
+        rank = rank + exponential[(h & np.uint64(0xFFFF)).astype(np.int64)] / weight[alive]
         on = rank <= upto
-        alive, rank, h = alive[on], rank[on], h[on]
-        hit = ((h >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float64) / (1 << 24) < weight[alive]
-        if hit.any():
-            found.append((alive[hit], rank[hit], _mix(h[hit])))
+        alive, rank = alive[on], rank[on]
+        found.append((alive, rank, _mix(h[on])))
         step += 1
     if not found:
         return
