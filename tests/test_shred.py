@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from vigilframe.operators.jsontext import _decode_deep, read
-from vigilframe.operators.shred import node_table, ordinal_above, ordinal_in_list, shred
+from vigilframe.operators.shred import QUERY_SCHEMA, columns, flatten, node_table, ordinal_above, ordinal_in_list, shred
 
 
 def walk(doc):
@@ -120,6 +120,34 @@ def test_levels():
     assert ordinal_above(levels, 2).tolist() == [0, 0, 1, 2]
 
 
+def test_rebuilt_from_levels_alone():
+    rng = random.Random(7)
+    docs = [read(json.dumps(document(rng))) for _ in range(300)]
+    found = list(columns(QUERY_SCHEMA, docs))
+    for c in found:  # the values are gone before anything is rebuilt
+        c.content = None
+        if c.parent is not None:
+            c.parent.content = None
+    got = sorted((int(c.record[k]), node, p, up) for c, node, at, path, over in flatten(iter(found)) for k, p, up in zip(at, path.to_pylist(), over.to_pylist()))
+    assert got == sorted((i, *n) for i, d in enumerate(docs) for n in walk(d))
+
+
+def test_definition_levels():
+    docs = [{"filter": {"conditions": [{"field": 1}, None, {"conditions": None}]}}, {"filter": {"conditions": []}}, {"filter": {}}, {"filter": None}, {}]
+    of = {(c.branch.key, c.level): c for c in columns(QUERY_SCHEMA, docs)}
+    top, below = of["filter", 0], of["conditions", 1]
+    # key, content
+    assert top.full == 2 and top.record.tolist() == [0, 1, 2] and top.definition.tolist() == [2, 2, 2]
+    assert top.leaves["conditions"].tolist() == [3, 3, 2]
+    # and key, element, content: an element that is null stands one below
+    assert below.full == 5 and below.repetition.tolist() == [0, 1, 1] and below.definition.tolist() == [5, 4, 5]
+    assert below.leaves["field"].tolist() == [6, 4, 5] and below.leaves["conditions"].tolist() == [5, 4, 6]
+    # an entry that is null, beside one with elements, stands at its key
+    docs = [{"sequence": [{"filter": {"conditions": None}}, {"filter": {"conditions": [{"field": 1}]}}, {"x": 1}, 3]}]
+    below = [c for c in columns(QUERY_SCHEMA, docs) if c.branch.key == "conditions"][0]
+    assert below.definition.tolist() == [6, 8, 3, 2] and below.repetition.tolist() == [0, 1, 1, 1] and below.full == 8
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, '{"filter":{"operator":"or","conditions":[{"field":"a","op":"eq","value":3}]},"aggregation":{"group_by":["u"]}}')], "i long, t string")
     nodes = shred(df, "i", "t", values=True)

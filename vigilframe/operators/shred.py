@@ -1,18 +1,19 @@
 """Nested documents into flat, linked tables by columnar shredding.
 
-A document is cut into *stripes*, one for each schema path (list indices left out).  A stripe holds,
-for every slot of its path, the record number, the repetition level (which list the slot continues)
-and the definition level (how much of the slot is there).  As in column stores, a slot that is missing
-still has an entry, so positions are rebuilt from the repetition levels: the index in the list at level
-k is the number of entries since the last one of a lower level, which is also where the next slot above
-begins.  Tables come out of the stripes by vector operations; the document is not walked again.
+A document is cut into columns, one for each schema path (list indices left out).  A column holds, for
+every slot of its path, the record number, the repetition level (which list the slot continues) and the
+definition level (how much of the way to the slot is there); leaf paths below a slot have a definition
+level for each of its entries.  As in column stores, a slot that is missing still has an entry, so
+everything is rebuilt from the levels: the index in the list at level k is the number of entries since the
+last one of a lower level, which is also where the next slot above begins; a slot is there, and is a node of
+some kind, by its own definition level and those of its leaves.  ``flatten`` sees nothing but these numbers.
 
 The schema may be recursive: a branch may have itself as child, to any depth.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -26,6 +27,18 @@ from pyspark.sql import types as T
 from vigilframe.durable import spread
 from vigilframe.operators.jsontext import inner, read
 
+#: The leaf that is defined where an object has any entry at all.
+ANY = "*"
+
+
+@dataclass(frozen=True)
+class Node:
+    """A kind of node: slots that are there, have the leaf ``has`` and don't have the leaf ``lacks``."""
+
+    name: str
+    has: str | None = None
+    lacks: str | None = None
+
 
 @dataclass
 class Branch:
@@ -33,85 +46,115 @@ class Branch:
 
     key: the key in the parent object, as written in paths.
     shape: ``object``, ``list`` (a lone value counts as element 0) or ``either`` (an object, or a list in its place).
-    node: gives the node's name for a value, or None where the slot makes no node.
+    nodes: the kinds of nodes its slots may be.
     children: the branches below.
+    objects: whether the slots hold objects; else any value that isn't null.
     """
 
     key: str
     shape: str
-    node: Callable[[Any], str | None]
+    nodes: list[Node] = field(default_factory=list)
     children: list["Branch"] = field(default_factory=list)
     objects: bool = True
 
     def __post_init__(self) -> None:
         self.plain = self.key.replace("_", "").lower()
+        self.leaves = sorted({k for n in self.nodes for k in (n.has, n.lacks) if k is not None})
 
 
 @dataclass
-class Stripe:
+class Column:
+    """The levels of one schema path.
+
+    level: lists on the way to a slot.  full: the definition level of a slot that is there; an entry of
+    its key, an element of its list and its content count one each.  leaves: definition levels of leaf
+    paths, entry by entry, ``full`` + 1 where the leaf is there.  content: the slots' values, None below
+    ``full``; needed to cut further and for the values of leaves, not for ``flatten``.
+    """
+
     branch: Branch
-    level: int  # lists on the way to the slot
+    listed: bool
+    level: int
+    full: int
     record: np.ndarray
     repetition: np.ndarray
-    value: list[Any]  # the slot's content; None below the last definition level
-    path: pa.Array
-    parent: pa.Array  # the path of the slot above
+    definition: np.ndarray
+    leaves: dict[str, np.ndarray]
+    content: list[Any] | None
+    parent: "Column | None"
+
 
+def _with_leaves(column: Column) -> Column:
+    for key in column.branch.leaves:
+        plain = key.replace("_", "").lower()
+        there = (bool(v) if key == ANY else isinstance(v, dict) and plain in v for v in column.content)
+        column.leaves[key] = column.definition + (np.fromiter(there, bool, len(column.content)) & (column.definition == column.full))
+    return column
 
-def _children(parent: Stripe) -> Iterator[Stripe]:
+
+def _cut(parent: Column) -> Iterator[Column]:
     for child in parent.branch.children:
-        held = [v.get(child.plain) if isinstance(v, dict) else None for v in parent.value]
-        held = [None if v is None else inner(v) for v in held]
+        key = child.plain
+        # 1 where the key has an entry, in objects that are there
+        entry = np.fromiter((isinstance(v, dict) and key in v for v in parent.content), bool, len(parent.content))
+        if not entry.any():
+            continue
+        held = [inner(v[key]) if e else None for v, e in zip(parent.content, entry.tolist())]
         if child.shape != "list":
-            yield from _objects(parent, child, [v if isinstance(v, dict) else None for v in held])
+            yield from _objects(parent, child, entry, [v if isinstance(v, dict) else None for v in held])
         if child.shape != "object":
-            if child.shape == "list":
-                lists = [v if isinstance(v, list) else None if v is None else [v] for v in held]
-            else:
-                lists = [v if isinstance(v, list) else None for v in held]
+            lone = child.shape == "list"
+            lists = [v if isinstance(v, list) else [v] if lone and v is not None else None for v in held]
             if child.objects:
                 lists = [v and [inner(x) for x in v] for v in lists]
-            yield from _lists(parent, child, lists)
+            yield from _lists(parent, child, entry, lists)
 
 
-def _live(parent: Stripe, content: list) -> np.ndarray:
-    """The parent's entries of the records that have anything here; the runs of nulls of the others are left out."""
-    filled = np.fromiter((bool(v) for v in content), bool, len(content))
+def _live(parent: Column, filled: np.ndarray) -> np.ndarray:
+    """The parent's entries of the records that have anything here; records that have nothing have no entries."""
     return np.nonzero(np.isin(parent.record, parent.record[filled]))[0] if filled.any() else np.zeros(0, np.int64)
 
 
-def _join(parent: pa.Array, *texts: Any) -> pa.Array:
-    dot = pc.if_else(pc.equal(parent, ""), "", ".")
-    return pc.binary_join_element_wise(parent, dot, *texts, "")
-
-
-def _objects(parent: Stripe, child: Branch, own: list) -> Iterator[Stripe]:
-    at = _live(parent, own)
+def _objects(parent: Column, child: Branch, entry: np.ndarray, own: list) -> Iterator[Column]:
+    filled = np.fromiter((v is not None for v in own), bool, len(own))
+    at = _live(parent, filled)
     if len(at):
-        up = parent.path.take(pa.array(at))
-        yield Stripe(child, parent.level, parent.record[at], parent.repetition[at], [own[k] for k in at], _join(up, child.key), up)
+        definition = parent.definition[at] + entry[at] + filled[at]
+        yield _with_leaves(Column(child, False, parent.level, parent.full + 2, parent.record[at], parent.repetition[at], definition, {}, [own[k] for k in at], parent))
 
 
-def _lists(parent: Stripe, child: Branch, lists: list) -> Iterator[Stripe]:
-    at = _live(parent, lists)
+def _lists(parent: Column, child: Branch, entry: np.ndarray, lists: list) -> Iterator[Column]:
+    count = np.fromiter((len(v) if v else 0 for v in lists), np.int64, len(lists))
+    at = _live(parent, count > 0)
     if not len(at):
         return
     level = parent.level + 1
-    value: list[Any] = []
-    repetition: list[int] = []
+    content: list[Any] = []
     for k in at:
-        own = lists[k]
-        if own:
-            value += own
-            repetition.append(parent.repetition[k])
-            repetition += [level] * (len(own) - 1)
-        else:
-            value.append(None)
-            repetition.append(parent.repetition[k])
-    levels = np.array(repetition, np.int32)
-    above = at[ordinal_above(levels, level)]
-    up = parent.path.take(pa.array(above))
-    yield Stripe(child, level, parent.record[above], levels, value, _join(up, child.key + "[", pc.cast(pa.array(ordinal_in_list(levels, level)), pa.string()), "]"), up)
+        content += lists[k] or (None,)
+    count = count[at]
+    rows = np.maximum(count, 1)
+    first = np.concatenate(([0], np.cumsum(rows)[:-1]))
+    repetition = np.full(int(rows.sum()), level, np.int32)
+    repetition[first] = parent.repetition[at]
+    there = (isinstance(v, dict) for v in content) if child.objects else (v is not None for v in content)
+    there = np.fromiter(there, bool, len(content))
+    if child.objects:
+        content = [v if t else None for v, t in zip(content, there.tolist())]
+    definition = np.repeat(parent.definition[at] + entry[at] + (count > 0), rows) + there
+    yield _with_leaves(Column(child, True, level, parent.full + 3, np.repeat(parent.record[at], rows), repetition, definition, {}, content, parent))
+
+
+def columns(branches: list[Branch], documents: list[Any]) -> Iterator[Column]:
+    """The columns of all schema paths that occur in the documents, each after the one above it."""
+    rows = [(i, d) for i, d in enumerate(documents) if isinstance(d, dict)]
+    none = np.zeros(len(rows), np.int32)
+    waiting = [Column(Branch("", "object", [], branches), False, 0, 0, np.array([i for i, _ in rows], np.int64), none, none, {}, [d for _, d in rows], None)]
+    while waiting:
+        column = waiting.pop()
+        if column.parent is not None:
+            yield column
+        waiting.extend(_cut(column))
 
 
 def ordinal_in_list(repetition: np.ndarray, level: int) -> np.ndarray:
@@ -125,22 +168,34 @@ def ordinal_above(repetition: np.ndarray, level: int) -> np.ndarray:
     return np.cumsum(repetition < level) - 1
 
 
-def tables(branches: list[Branch], documents: list[Any], values: bool = False) -> Iterator[tuple[np.ndarray, list[str], pa.Array, pa.Array, list[str | None] | None]]:
-    """For every stripe: record numbers, node names, paths, parents' paths and (if asked) the scalars as JSON text."""
-    rows = [(i, d) for i, d in enumerate(documents) if isinstance(d, dict)]
-    none = pa.array([""] * len(rows), pa.string())
-    top = Branch("", "object", lambda _: None, branches)
-    waiting = [Stripe(top, 0, np.array([i for i, _ in rows], np.int64), np.zeros(len(rows), np.int32), [d for _, d in rows], none, none)]
-    while waiting:
-        s = waiting.pop()
-        waiting.extend(_children(s))
-        name = [None if v is None else s.branch.node(v) for v in s.value]
-        keep = np.fromiter((n is not None for n in name), bool, len(name))
-        if not keep.any():
-            continue
-        mask = pa.array(keep)
-        scalars = [_scalars(v) for v, k in zip(s.value, keep) if k] if values else None
-        yield s.record[keep], [n for n in name if n is not None], s.path.filter(mask), s.parent.filter(mask), scalars
+def _join(parent: pa.Array, *texts: Any) -> pa.Array:
+    dot = pc.if_else(pc.equal(parent, ""), "", ".")
+    return pc.binary_join_element_wise(parent, dot, *texts, "")
+
+
+def flatten(found: Iterator[Column]) -> Iterator[tuple[Column, str, np.ndarray, pa.Array, pa.Array]]:
+    """(column, node, entries, paths, paths of the slots above) for every kind of node of every column, from the levels alone."""
+    paths: dict[int, tuple[Column, pa.Array]] = {}
+    for c in found:
+        up = c.parent
+        above = np.nonzero(np.isin(up.record, c.record))[0]
+        if c.listed:
+            above = above[ordinal_above(c.repetition, c.level)]
+        over = paths[id(up)][1] if id(up) in paths else pa.array([""] * len(up.record), pa.string())
+        over = over.take(pa.array(above))
+        own = _join(over, c.branch.key, *(("[", pc.cast(pa.array(ordinal_in_list(c.repetition, c.level)), pa.string()), "]") if c.listed else ()))
+        if c.branch.children:
+            paths[id(c)] = (c, own)  # held with its column, so that the id stays its own
+        there = c.definition == c.full
+        for node in c.branch.nodes:
+            keep = there
+            if node.has is not None:
+                keep = keep & (c.leaves[node.has] > c.full)
+            if node.lacks is not None:
+                keep = keep & (c.leaves[node.lacks] == c.full)
+            if keep.any():
+                at = np.nonzero(keep)[0]
+                yield c, node.name, at, own.take(pa.array(at)), over.take(pa.array(at))
 
 
 def _scalars(value: Any) -> str:
@@ -152,26 +207,17 @@ def _scalars(value: Any) -> str:
 # The schema of a detection query document.
 
 
-def _filter_node(v: Any) -> str | None:
-    if not isinstance(v, dict):
-        return None
-    return "group" if "conditions" in v else "condition" if "field" in v else None
-
-
-def _filled(name: str) -> Callable[[Any], str | None]:
-    return lambda v: name if isinstance(v, dict) and v else None
-
-
 def _query_schema() -> list[Branch]:
-    conditions = Branch("conditions", "list", _filter_node)
+    tested = [Node("group", has="conditions"), Node("condition", has="field", lacks="conditions")]
+    conditions = Branch("conditions", "list", tested)
     conditions.children.append(conditions)
-    tree = Branch("filter", "either", _filter_node, [conditions])
-    group_by = Branch("group_by", "list", lambda v: "group_by", objects=False)
+    tree = Branch("filter", "either", tested, [conditions])
+    group_by = Branch("group_by", "list", [Node("group_by")], objects=False)
     return [
         tree,
-        Branch("aggregation", "object", _filled("aggregation"), [group_by]),
-        Branch("lookup", "either", _filled("lookup")),
-        Branch("sequence", "list", _filled("step"), [tree]),
+        Branch("aggregation", "object", [Node("aggregation", has=ANY)], [group_by]),
+        Branch("lookup", "either", [Node("lookup", has=ANY)]),
+        Branch("sequence", "list", [Node("step", has=ANY)], [tree]),
     ]
 
 
@@ -193,14 +239,14 @@ def shred(df: DataFrame, id_col: str, json_col: str, values: bool = False, schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
                 ids, texts = part.column(0), part.column(1)
-                for record, node, path, parent, scalars in tables(branches, [read(t) for t in texts.to_pylist()], values):
-                    columns = [ids.take(pa.array(record)), pa.array(node, pa.string()), path, parent]
-                    if scalars is not None:
-                        columns.append(pa.array(scalars, pa.string()))
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                for c, node, at, path, parent in flatten(columns(branches, [read(t) for t in texts.to_pylist()])):
+                    out = [ids.take(pa.array(c.record[at])), pa.repeat(pa.scalar(node), len(at)), path, parent]
+                    if values:
+                        out.append(pa.array([_scalars(c.content[k]) for k in at], pa.string()))
+                    yield pa.RecordBatch.from_arrays(out, names=names)
 
     return spread(df.select(id_col, json_col)).mapInArrow(run, T.StructType(fields))
 
