@@ -161,7 +161,7 @@ def eventstats_(spark: SparkSession, d: str) -> DataFrame:
 def streamstats_(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.operators.windows import streamstats
 
-    return streamstats(_events(spark, d), ["user_id"], ["ts", "event_id"], so_far=F.count(F.lit(1)), most=F.max("value")).select("event_id", "so_far", "most")
+    return streamstats(_events(spark, d), ["user_id"], ["ts", "event_id"], so_far=("count", F.lit(1)), most=("max", F.col("value"))).select("event_id", "so_far", "most")
 
 
 @query("timechart", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, count(*) AS n FROM events GROUP BY ALL")

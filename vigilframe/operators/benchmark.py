@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vigilframe.functions.text import normal_text
+from vigilframe.operators.ordering import number_rows, number_within
 
 
 def content_hash(*parts: Column) -> Column:
@@ -33,9 +33,9 @@ def stratified_split(df: DataFrame, group: str, tier: str, seed: int = 42, train
     of several tiers counts in the least of them.
     """
     groups = df.groupBy(group).agg(F.min(tier).alias("_tier"))
-    w = Window.partitionBy("_tier").orderBy(F.xxhash64(F.lit(seed), F.col(group)), group)
-    n = F.count(F.lit(1)).over(Window.partitionBy("_tier"))
-    placed = groups.withColumn("_n", F.row_number().over(w)).withColumn("_all", n)
+    numbered = number_within(groups, ["_tier"], [F.xxhash64(F.lit(seed), F.col(group)), F.col(group)], "_n")
+    sizes = groups.groupBy(F.col("_tier").alias("_of")).agg(F.count(F.lit(1)).alias("_all"))
+    placed = numbered.join(sizes, F.col("_tier").eqNullSafe(F.col("_of")))
     a = F.bround(F.col("_all") * F.lit(train), 0)
     b = a + F.bround(F.col("_all") * F.lit(validation), 0)
     chosen = placed.select(F.col(group), F.when(F.col("_n") <= a, "train").when(F.col("_n") <= b, "validation").otherwise("test").alias("split"))
@@ -43,9 +43,8 @@ def stratified_split(df: DataFrame, group: str, tier: str, seed: int = 42, train
 
 
 def sequential_ids(df: DataFrame, order: list[str], prefix: str = "SB", width: int = 4) -> DataFrame:
-    """Ids like SB-0001 in the given order.  The set is a built benchmark, small enough for one ordered pass."""
-    w = Window.partitionBy(F.lit(1)).orderBy(*order)
-    return df.withColumn("seq_id", F.format_string(f"{prefix}-%0{width}d", F.row_number().over(w)))
+    """Ids like SB-0001 in the given order."""
+    return number_rows(df, [F.asc(c) for c in order], "_n").select("*", F.format_string(f"{prefix}-%0{width}d", F.col("_n")).alias("seq_id")).drop("_n")
 
 
 def complexity(text: Column, simple: list[str], complex_: list[str]) -> Column:

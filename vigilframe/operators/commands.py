@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigilframe.functions.times import epoch_micros
+from vigilframe.operators.ordering import number_rows, running
+
 
 def dedup(df: DataFrame, keys: list[str], order: list[Column], keep: int = 1) -> DataFrame:
     """The first ``keep`` rows of each key in the given order."""
@@ -39,13 +42,12 @@ def fillnull(df: DataFrame, value, fields: list[str] | None = None) -> DataFrame
 
 def filldown(df: DataFrame, by: list[str], order: list[str], fields: list[str]) -> DataFrame:
     """Nulls take the last known value of their key."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({f: F.last(f, ignorenulls=True).over(w) for f in fields})
+    return running(df, by, order, {f: ("last", F.col(f)) for f in fields})
 
 
 def appendcols(left: DataFrame, right: DataFrame, order_left: list[str], order_right: list[str]) -> DataFrame:
-    """Columns side by side by row number; both sides are small results."""
-    number = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by)))
+    """Columns side by side by row number."""
+    number = lambda df, by: number_rows(df, [F.asc(c) for c in by], "_n")
     return number(left, order_left).join(number(right, order_right), "_n", "left").drop("_n")
 
 
@@ -79,11 +81,19 @@ def sample_sequence(frames: list[DataFrame], key: str) -> DataFrame:
     return functools.reduce(lambda a, b: a.join(b, key), (f.select(key).distinct() for f in frames))
 
 
-def sequence_until(chains: DataFrame, stops: DataFrame, key: str, time: str, first: str, last: str) -> DataFrame:
-    """Chains (key, step times) without an event of ``stops`` of the same key between their first and last step."""
-    s = stops.select(F.col(key).alias("_k"), F.col(time).alias("_t")).alias("s")
-    c = chains.alias("c")
-    return c.join(s, (F.col("c.key") == F.col("s._k")) & (F.col("s._t") > F.col(f"c.{first}")) & (F.col("s._t") < F.col(f"c.{last}")), "left_anti")
+def sequence_until(chains: DataFrame, stops: DataFrame, key: str, time: str, first: str, last: str, bucket_seconds: int = 3600) -> DataFrame:
+    """Chains (key, step times) without an event of ``stops`` of the same key between their first and last step.
+
+    Both sides meet by key and time bucket, so a hot key is spread over its buckets; a chain is lent to every
+    bucket that it touches.
+    """
+    width = bucket_seconds * 1_000_000
+    micros = lambda df, c: epoch_micros(F.col(c), df.schema[c].dataType)
+    s = stops.filter(F.col(time).isNotNull()).select(F.col(key).alias("_k"), F.floor(micros(stops, time) / width).alias("_b"), F.col(time).alias("_t")).distinct()
+    spans = chains.filter(F.col(first) < F.col(last)).distinct()
+    lent = spans.withColumn("_b", F.explode(F.sequence(F.floor(micros(chains, first) / width), F.floor(micros(chains, last) / width))))
+    hit = lent.join(s, (F.col("key") == F.col("_k")) & (lent["_b"] == s["_b"]) & (F.col("_t") > F.col(first)) & (F.col("_t") < F.col(last)), "left_semi").select(*(F.col(c).alias(f"_h{n}") for n, c in enumerate(chains.columns))).distinct()
+    return chains.join(hit, [F.col(c).eqNullSafe(F.col(f"_h{n}")) for n, c in enumerate(chains.columns)], "left_anti")
 
 
 def in_cidr(ip: Column, cidr: str) -> Column:

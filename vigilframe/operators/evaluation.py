@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vigilframe.operators.ordering import running
 from vigilframe.plans.fields import PLATFORMS
 
 
@@ -72,12 +73,14 @@ def fidelity(labels: DataFrame, id_col: str, label: str) -> DataFrame:
 def nearest_rank(df: DataFrame, value: str, percents: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Percentiles by nearest rank, index round-half-even(p / 100 x (n - 1)), to two decimals.
 
-    Equal values are counted first, so what is ordered is the different values of a group.
+    Equal values are counted first; the counts are added up in a range-partitioned order, so a group of many
+    different values is spread over tasks.
     """
     by = by or []
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*(by or [F.lit(1)])).orderBy(value)
-    placed = counts.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*(by or [F.lit(1)]))))
+    whole = counts.groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by))).agg(F.sum("_n").alias("_all"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)] or [F.lit(True)]
+    placed = running(counts, by, [value], {"_upto": ("sum", F.col("_n"))}).join(F.broadcast(whole) if not by else whole, same)
     at = lambda p: F.bround(F.lit(p / 100) * (F.col("_all") - 1), 0)
     picks = [F.round(F.min(F.when(F.col("_upto") > at(p), F.col(value))), 2).alias(n) for n, p in percents.items()]
     return placed.groupBy(*by).agg(*picks)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vigilframe.functions.times import epoch_micros
+from vigilframe.operators.ordering import running
 
 
 def _micros(df: DataFrame, time: str) -> Column:
@@ -50,10 +51,9 @@ def eventstats(df: DataFrame, by: list[str], **measures: Column) -> DataFrame:
     return joined.select(*df.columns, *(F.col(f"_of{n}").alias(name) for n, name in enumerate(measures)))
 
 
-def streamstats(df: DataFrame, by: list[str], order: list[str], **measures: Column) -> DataFrame:
-    """Running aggregates of each group in the given order."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({n: c.over(w) for n, c in measures.items()})
+def streamstats(df: DataFrame, by: list[str], order: list[str], **measures: tuple[str, Column]) -> DataFrame:
+    """Running aggregates of each group in the given order: (count, sum, min, max or last, expression)."""
+    return running(df, by, order, measures)
 
 
 def timechart(df: DataFrame, time: str, width: str, by: list[str] | None = None, **measures: Column) -> DataFrame:
