@@ -41,19 +41,17 @@ from vigilframe.durable import cut, spread
 from vigilframe.llm.splits import connected_components
 from vigilframe.llm.words import words
 
-BANDS, ROWS = 14, 2
+BANDS, ROWS = 13, 2
 #: Bands of the common words, and the darts at hand for one.
-COMMON_BANDS, COMMON_ROWS = 12, 6
+COMMON_BANDS, COMMON_ROWS = 11, 6
 #: Further bands, of so many darts, for texts with fewer than FEW_RARE rare words to a common one.
 FEW_BANDS, FEW_ROWS, FEW_RARE = 28, 4, 0.2
 #: A word of at least this weight counts as rare.
 RARE_WEIGHT = 0.25
 #: A band of common words ends when so many texts would be expected to have its darts' words.
 BY_CHANCE = 4
-#: Banded rows to a partition.
-BANDED_ROWS = 4_000_000
-#: Ids of so many candidate pairs are sent to the texts, so that only the words of these are shuffled; if there are more, all are.
-SENT_PAIRS = 1_000_000
+#: Banded rows to a partition, and the most partitions.
+BANDED_ROWS, BANDED_PARTS = 600_000, 100_000
 #: Texts from which hot band values are told, and how often one must occur among them.
 HOT_SAMPLE, HOT_LEAST = 50_000, 10
 #: A word in a smaller share of the texts has full weight.  Only more common ones are sent to the workers: at most words per text / RARE.
@@ -376,7 +374,7 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
                 x = text[part]
                 yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(ids[x]), pa.array(m0[x].view(np.int64)), pa.array(m1[x].view(np.int64))], names=["key", "id", "m0", "m1"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * (bands + COMMON_BANDS) // BANDED_ROWS)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n * (bands + COMMON_BANDS) // BANDED_ROWS, BANDED_PARTS))
     banded = cores.mapInArrow(sign, "key long, id long, m0 long, m1 long").repartition(parts, "key").sortWithinPartitions("key")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,9 +421,9 @@ def near_duplicates(df: DataFrame, id_col: str, text: Column, threshold: float =
     met = cut(banded.mapInArrow(meet, "a long, b long, key long, block long, m0 long, m1 long"))
     pairs = met.filter("key is null").select("a", "b").union(_block_pairs(met.filter("key is not null"), threshold)).distinct()
     pairs = cut(pairs)
-    if pairs.count() <= SENT_PAIRS:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        cores = cut(cores.join(F.broadcast(ends), "id", "left_semi"))
+    # the words of all texts are shuffled once; what meets twice is the words of candidates
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    cores = cut(cores.join(ends, "id", "left_semi"))
     linked = pairs.join(cores.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(cores.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     scored = linked.select("a", "b", shared.alias("i"), (F.size("wa") + F.size("wb") - shared).alias("u")).filter(F.col("i") >= F.lit(threshold) * F.col("u") - F.lit(1e-9))
