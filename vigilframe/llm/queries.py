@@ -17,7 +17,7 @@ from vigilframe.llm.sampling import categorised, json_field, label_key, proporti
 from vigilframe.llm.splits import assign_splits, entity_components
 from vigilframe.llm.subjects import document_subjects
 from vigilframe.llm.tokens import encode_documents, vocabulary
-from vigilframe.llm.words import plain_source, words
+from vigilframe.llm.words import NO_WORD, plain_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,7 +48,7 @@ def family(technique: Column) -> Column:
 
 def question(text: Column) -> Column:
     """The words of a question in order, null if it has none."""
-    joined = F.array_join(words(text), " ")
+    joined = F.trim(F.regexp_replace(F.lower(text), NO_WORD, " "))
     return F.when(joined != "", joined)
 
 
