@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilframe.llm.mixing import mixture, short_sources, source_sizes, water_fill
-from vigilframe.llm.ranking import Score, ideal_point_ranking, number_rows
+from vigilframe.llm.ranking import Score, ideal_point_ranking, order_statistics
 from vigilframe.llm.sampling import OTHER, categorised, json_field, proportional_sample, quotas, round_table
 
 TARGETS = "dim string, category string, target_share double, min_rows int"
@@ -78,25 +78,25 @@ def test_json_field(spark):
 
 
 def brute_rank(rows, tail):
-    steps = [[round(x * 10_000 / h) if x is not None and not math.isnan(x) and 0 <= x <= h else None for x, h in zip(r[1:], (100, 1))] for r in rows]
+    scaled = [[x / h if x is not None and not math.isnan(x) and 0 <= x <= h else None for x, h in zip(r[1:], (100, 1))] for r in rows]
     near, far = [0.0] * len(rows), [0.0] * len(rows)
     for k in range(2):
-        own = sorted(s[k] for s in steps if s[k] is not None)
+        own = sorted(s[k] for s in scaled if s[k] is not None)
         at = lambda p: own[max(1, math.ceil(p * len(own))) - 1]  # noqa: B023, E731
         low, mid, high = at(tail), at(0.5), at(1 - tail)
-        x = [min(max(mid if s[k] is None else s[k], low), high) for s in steps]
+        x = [min(max(mid if s[k] is None else s[k], low), high) for s in scaled]
         length = math.sqrt(sum(v * v for v in x)) or 1
         near = [a + ((v - high) / length) ** 2 for a, v in zip(near, x)]
         far = [a + ((v - low) / length) ** 2 for a, v in zip(far, x)]
-    c = [round(math.sqrt(b) / (math.sqrt(a) + math.sqrt(b)), 9) if a + b else 0.5 for a, b in zip(near, far)]
-    order = sorted(range(len(rows)), key=lambda i: (-c[i], rows[i][0]))
+    c = [math.sqrt(b) / (math.sqrt(a) + math.sqrt(b)) if a + b else 0.5 for a, b in zip(near, far)]
+    order = sorted(range(len(rows)), key=lambda i: (-round(c[i], 14), rows[i][0]))
     return [(rows[i][0], c[i]) for i in order]
 
 
 def test_ranking(spark):
     rng = random.Random(2)
     odd = [None, float("nan"), -1.0, 5000.0]
-    rows = [(i, rng.choice([round(rng.uniform(0, 100), 2)] * 6 + odd), rng.choice([round(rng.random(), 4)] * 6 + odd)) for i in range(300)] + [(400 + i, 50.0, 0.5) for i in range(40)]
+    rows = [(i, rng.choice([round(rng.uniform(0, 100), 2)] * 3 + [rng.uniform(40, 40.0001)] * 3 + odd), rng.choice([rng.random()] * 6 + odd)) for i in range(300)] + [(400 + i, 50.0, 0.5) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, s double, t double").withColumn("rank", F.lit("x")).withColumn("closeness", F.lit(1))
     scores = [Score("s", 0, 100), Score("t")]
     got = ideal_point_ranking(df, "id", scores).orderBy("rank").collect()
@@ -115,10 +115,22 @@ def test_no_score_outweighs_by_its_scale(spark):
     assert a == b
 
 
-def test_number_rows(spark):
-    df = spark.range(1000).withColumn("k", F.col("id") % 3).repartition(7)
-    got = number_rows(df, [F.asc("k"), F.desc("id")], "n").orderBy("n").collect()
-    assert [(r.k, -r.id) for r in got] == sorted((r.k, -r.id) for r in got) and [r.n for r in got] == list(range(1, 1001))
+def test_order_statistics_are_exact(spark):
+    rng = random.Random(9)
+    # most values lie so near to each other that several passes are needed to tell them apart
+    rows = [(0.3 + rng.random() * 1e-12, None if i % 7 else 0.25, None) for i in range(3000)] + [(rng.random(), 1.0, None) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = order_statistics(df, ["a", "b", "c"], [0.01, 0.5, 0.99, 1.0])
+    for k, c in enumerate("ab"):
+        own = sorted(r[k] for r in rows if r[k] is not None)
+        assert got[c] == [own[max(1, math.ceil(p * len(own))) - 1] for p in (0.01, 0.5, 0.99, 1.0)]
+    assert got["c"] == [None] * 4
+
+
+def test_finer_scores_are_told_apart(spark):
+    df = spark.createDataFrame([(i, 0.5 + i * 1e-9) for i in range(50)] + [(100, 0.0), (101, 1.0)], "id long, s double")
+    got = [r.id for r in ideal_point_ranking(df, "id", [Score("s")], tail=0.0).orderBy("rank").collect()]
+    assert got == [101, *range(49, -1, -1), 100]
 
 
 def test_water_fill():

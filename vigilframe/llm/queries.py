@@ -121,28 +121,28 @@ SCORES = [Score("bleu", 0.0, 100.0), Score("rouge_l"), Score("field_f1"), Score(
 @query(
     "p6_ranking",
     """
-    WITH steps AS (
+    WITH scaled AS (
       SELECT record_id,
-        CASE WHEN bleu IS NOT NULL AND NOT isnan(bleu) AND bleu BETWEEN 0 AND 100 THEN CAST(round(bleu / 0.01) AS INT) END AS s0,
-        CASE WHEN rouge_l IS NOT NULL AND NOT isnan(rouge_l) AND rouge_l BETWEEN 0 AND 1 THEN CAST(round(rouge_l / 0.0001) AS INT) END AS s1,
-        CASE WHEN field_f1 IS NOT NULL AND NOT isnan(field_f1) AND field_f1 BETWEEN 0 AND 1 THEN CAST(round(field_f1 / 0.0001) AS INT) END AS s2,
-        CASE WHEN token_edit_sim IS NOT NULL AND NOT isnan(token_edit_sim) AND token_edit_sim BETWEEN 0 AND 1 THEN CAST(round(token_edit_sim / 0.0001) AS INT) END AS s3
+        CASE WHEN bleu IS NOT NULL AND NOT isnan(bleu) AND bleu BETWEEN 0 AND 100 THEN bleu / 100.0::DOUBLE END AS s0,
+        CASE WHEN rouge_l IS NOT NULL AND NOT isnan(rouge_l) AND rouge_l BETWEEN 0 AND 1 THEN rouge_l END AS s1,
+        CASE WHEN field_f1 IS NOT NULL AND NOT isnan(field_f1) AND field_f1 BETWEEN 0 AND 1 THEN field_f1 END AS s2,
+        CASE WHEN token_edit_sim IS NOT NULL AND NOT isnan(token_edit_sim) AND token_edit_sim BETWEEN 0 AND 1 THEN token_edit_sim END AS s3
       FROM ablation),
     long AS (
       SELECT record_id, k, v FROM (
-        SELECT record_id, unnest([0, 1, 2, 3]) AS k, unnest([s0, s1, s2, s3]) AS v FROM steps)),
+        SELECT record_id, unnest([0, 1, 2, 3]) AS k, unnest([s0, s1, s2, s3]) AS v FROM scaled)),
     bounds AS (
       SELECT k, quantile_disc(v, 0.01) AS low, quantile_disc(v, 0.5) AS mid, quantile_disc(v, 0.99) AS high FROM long GROUP BY k),
     clipped AS (
       SELECT record_id, l.k, least(greatest(coalesce(v, mid), low), high) AS x, v IS NOT NULL AS known, low, high FROM long l JOIN bounds b USING (k)),
-    length AS (SELECT k, sqrt(CAST(sum(CAST(x AS HUGEINT) * x) AS DOUBLE)) AS len FROM clipped GROUP BY k),
+    length AS (SELECT k, sqrt(CAST(sum(CAST(round(x * x * 1e12) AS HUGEINT)) AS DOUBLE) / 1e12) AS len FROM clipped GROUP BY k),
     points AS (
       SELECT record_id, sum(CAST(known AS INT)) AS scores_known,
-        sqrt(max(CASE k WHEN 0 THEN ((x - high) / len) ** 2 END) + max(CASE k WHEN 1 THEN ((x - high) / len) ** 2 END) + max(CASE k WHEN 2 THEN ((x - high) / len) ** 2 END) + max(CASE k WHEN 3 THEN ((x - high) / len) ** 2 END)) AS best,
-        sqrt(max(CASE k WHEN 0 THEN ((x - low) / len) ** 2 END) + max(CASE k WHEN 1 THEN ((x - low) / len) ** 2 END) + max(CASE k WHEN 2 THEN ((x - low) / len) ** 2 END) + max(CASE k WHEN 3 THEN ((x - low) / len) ** 2 END)) AS worst
+        sqrt(max(CASE k WHEN 0 THEN (x - high) / len * ((x - high) / len) END) + max(CASE k WHEN 1 THEN (x - high) / len * ((x - high) / len) END) + max(CASE k WHEN 2 THEN (x - high) / len * ((x - high) / len) END) + max(CASE k WHEN 3 THEN (x - high) / len * ((x - high) / len) END)) AS best,
+        sqrt(max(CASE k WHEN 0 THEN (x - low) / len * ((x - low) / len) END) + max(CASE k WHEN 1 THEN (x - low) / len * ((x - low) / len) END) + max(CASE k WHEN 2 THEN (x - low) / len * ((x - low) / len) END) + max(CASE k WHEN 3 THEN (x - low) / len * ((x - low) / len) END)) AS worst
       FROM clipped JOIN length USING (k) GROUP BY record_id),
-    placed AS (SELECT record_id, CAST(scores_known AS INT) AS scores_known, CASE WHEN best + worst > 0 THEN round(worst / (best + worst), 9) ELSE 0.5 END AS closeness FROM points)
-    SELECT record_id, scores_known, closeness, row_number() OVER (ORDER BY closeness DESC, record_id) AS rank FROM placed
+    placed AS (SELECT record_id, CAST(scores_known AS INT) AS scores_known, CASE WHEN best + worst > 0 THEN worst / (best + worst) ELSE 0.5 END AS c FROM points)
+    SELECT record_id, scores_known, round(c, 9) AS closeness, row_number() OVER (ORDER BY c DESC, record_id) AS rank FROM placed
     """,
 )
 def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
