@@ -24,8 +24,11 @@ from vigilframe.durable import cut, spread
 
 #: Labelled documents from which phrases are learned.
 SAMPLE = 6000
-#: Outcomes of the functions: sentences 0, 1, 2, 3 and more (a subject needs three); sections 0, 1, 2 and more; address no or yes; source rare, usual, frequent.
-LEVELS = (4, 3, 2, 3)
+#: Outcomes of the functions: sentences 0, 1, 2, 3 and more (a subject needs three) with sections 0, 1, 2 and more; address no or yes;
+#: source rare, usual, frequent.  Sentences and sections see the same phrases, so they are one function of 12 outcomes to the model.
+LEVELS = (12, 2, 3)
+#: What the start counts for against all documents.  Sentences and sections say most; without it, nothing would hold the two classes to their meaning.
+PRIOR_WEIGHT = 0.25
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 #: A comparison, also unspaced, but no run of signs as in ``--===>>``.
@@ -181,26 +184,29 @@ def learn(documents: list[tuple[str, str | None, list[str]]], subjects: list[str
 def accuracies(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tuple[int, ...], float]:
     """The posterior probability of each outcome pattern, with the functions' accuracies learned from the patterns' counts.
 
-    The functions are taken as independent given the truth.  The start says only that more sentences and
+    The functions are taken as independent given the truth, but for sentences and sections, which have one table
+    together.  The start says only that more sentences and
     sections speak for a subject; the counts do the rest.
     """
     if not patterns:
         return {}
     keys = sorted(patterns)
+    seen = [(3 * k[0] + k[1], *k[2:]) for k in keys]
     n = np.array([patterns[k] for k in keys], float)
-    yes = [np.array(x) for x in ([0.02, 0.03, 0.05, 0.9], [0.4, 0.3, 0.3], [0.8, 0.2], [0.2, 0.5, 0.3])]
-    no = [np.array(x) for x in ([0.82, 0.13, 0.04, 0.01], [0.97, 0.02, 0.01], [0.98, 0.02], [0.35, 0.5, 0.15])]
-    prior = 0.1
+    sentences = [np.outer(a, b).ravel() for a, b in (([0.02, 0.03, 0.05, 0.9], [0.4, 0.3, 0.3]), ([0.82, 0.13, 0.04, 0.01], [0.97, 0.02, 0.01]))]
+    yes = [sentences[0], np.array([0.8, 0.2]), np.array([0.2, 0.5, 0.3])]
+    no = [sentences[1], np.array([0.98, 0.02]), np.array([0.35, 0.5, 0.15])]
+    start, prior = (list(yes), list(no)), 0.1
     for _ in range(rounds):
         log_yes, log_no = np.log(prior), np.log(1 - prior)
-        a = np.array([log_yes + sum(np.log(yes[f][v]) for f, v in enumerate(k)) for k in keys])
-        b = np.array([log_no + sum(np.log(no[f][v]) for f, v in enumerate(k)) for k in keys])
+        a = np.array([log_yes + sum(np.log(yes[f][v]) for f, v in enumerate(k)) for k in seen])
+        b = np.array([log_no + sum(np.log(no[f][v]) for f, v in enumerate(k)) for k in seen])
         p = 1 / (1 + np.exp(np.clip(b - a, -500, 500)))
         prior = min(max(float((p * n).sum() / n.sum()), 1e-6), 1 - 1e-6)
-        for f, levels in enumerate(LEVELS):
+        for f in range(len(LEVELS)):
             for table, weight in ((yes, p * n), (no, (1 - p) * n)):
-                counts = np.full(levels, 0.5)
-                for k, w in zip(keys, weight):
+                counts = PRIOR_WEIGHT * weight.sum() * start[table is no][f] + 0.5
+                for k, w in zip(seen, weight):
                     counts[k[f]] += w
                 table[f] = counts / counts.sum()
     return dict(zip(keys, map(float, p)))
@@ -237,10 +243,19 @@ def document_subjects(df: DataFrame, labels: DataFrame, subjects: DataFrame, id_
     seen = cut(spread(df.select(id_col, text_col, source_col).filter(F.col(text_col).isNotNull())).mapInArrow(run, f"`{id_col}` {id_type}, subject string, f0 int, f1 int, f2 int, f3 int"))
     marks = ["f0", "f1", "f2", "f3"]
     counts = {tuple(r[m] for m in marks): r["n"] for r in seen.groupBy(*marks).agg(F.count("*").alias("n")).collect()}  # at most 72 patterns
-    # Documents of which nothing is seen for a subject are the bulk of the negatives.
-    unseen = df.count() * len(names) - sum(counts.values())
-    if counts and unseen > 0:
-        counts[0, 0, 0, 1] = counts.get((0, 0, 0, 1), 0) + unseen
+    # Documents of which nothing is seen for a subject are the bulk of the negatives.  They, too, have a source outcome.
+    if counts:
+        known = lexicon.value.sources
+        levels = df.sparkSession.createDataFrame([(x, names[s], level) for (x, s), level in known.items() if level != 1], "src string, subject string, f3 int")
+        # at most as many rows as the sample has sources, times the subjects
+        per_source = df.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("src")).agg(F.count("*").alias("n"))
+        unusual = per_source.join(F.broadcast(levels), "src").groupBy("f3").agg(F.sum("n").alias("n")).collect()
+        of = {r.f3: r.n for r in unusual}
+        of[1] = df.count() * len(names) - sum(of.values())
+        for level, n in of.items():
+            n -= sum(c for k, c in counts.items() if k[3] == level)
+            if n > 0:
+                counts[0, 0, 0, level] = counts.get((0, 0, 0, level), 0) + n
     posterior = [(*k, p) for k, p in accuracies(counts).items() if p >= least]
     table = df.sparkSession.createDataFrame(posterior, "f0 int, f1 int, f2 int, f3 int, posterior double")
     return seen.join(F.broadcast(table), marks).select(id_col, "subject", "posterior")
