@@ -59,7 +59,7 @@ RARE = 1e-5
 LEAST_WEIGHT = 1 / 512
 #: Rows of one band value that are compared in one task; more are split into blocks.
 BLOCK = 20_000
-_BITS = 120
+_BITS = 96
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def word_weights(sets: DataFrame, rare: float = RARE) -> tuple[np.ndarray, np.nd
 
 
 def _bitmap(offsets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """120 bits set by the words of each text, and its number of words (up to 255) in the upper byte of the second."""
+    """96 bits set by the words of each text, and its number of words (up to 255) in the next byte; the three left over stay zero, as zeros compress."""
     n = len(offsets) - 1
     bit = (_mix(tokens.astype(np.uint64) + np.uint64(77)) % np.uint64(_BITS)).astype(np.int64)
     text = np.repeat(np.arange(n), np.diff(offsets))
@@ -175,13 +175,13 @@ def _bitmap(offsets: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.nda
     grid[text, bit] = True
     packed = np.packbits(grid, axis=1, bitorder="little").view("<u8")
     size = np.minimum(np.diff(offsets), 255).astype(np.uint64)
-    return packed[:, 0].copy(), packed[:, 1] | (size << np.uint64(56))
+    return packed[:, 0].copy(), packed[:, 1] | (size << np.uint64(32))
 
 
 def _may_reach(m0a, m1a, m0b, m1b, threshold: float) -> np.ndarray:
     """Whether two word sets can have the similarity, by their bitmaps: never false where they have."""
-    low = np.uint64((1 << 56) - 1)
-    na, nb = (m1a >> np.uint64(56)).astype(np.int64), (m1b >> np.uint64(56)).astype(np.int64)
+    low = np.uint64((1 << 32) - 1)
+    na, nb = (m1a >> np.uint64(32)).astype(np.int64), (m1b >> np.uint64(32)).astype(np.int64)
     apart = np.bitwise_count(m0a ^ m0b).astype(np.int64) + np.bitwise_count((m1a ^ m1b) & low)
     most = (1 - threshold) / (1 + threshold) * (na + nb) + 1e-9
     return (apart <= most) | (na == 255) | (nb == 255)
