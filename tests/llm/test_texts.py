@@ -1,9 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from vigilframe.llm.pairs import ChainField, PairTagger, beginnings_of, blank, pair_defects, training_examples
+from vigilframe.llm.pairs import _ACCENT, _NOT_LATIN, WHOLE as WHOLE_SHAPE, ChainField, PairTagger, _mask, beginnings_of, blank, clauses, pair_defects, training_examples
 from vigilframe.llm.subjects import accuracies, document_subjects, learn, sections
 from vigilframe.llm.tokens import Encoder, encode_documents, vocabulary
 
@@ -83,6 +84,35 @@ def test_defects(tagger, response, defect):
     assert tagger.defect(QUESTION, response) == defect
 
 
+def rule(response):
+    """What five lines of verdicts make of a response: shapes, scripts and a few words."""
+    cs = clauses(_mask(response))
+    queries = [c for c in cs if c[1]]
+    if any(_NOT_LATIN.search(c[0]) or _ACCENT.search(c[0]) for c in cs if not c[1]):
+        return "language"
+    if queries and queries[-1][2] != WHOLE_SHAPE:
+        return "truncated"
+    return "refusal" if not queries and re.search(r"\b(sorry|unable|cannot|can't|won't|decline|refuse)\b", response, re.I) else None
+
+
+@pytest.mark.parametrize(
+    ("response", "defect"),
+    [(x, "language") for x in ("Der Ausdruck meldet Verbindungen", "Regeln visar alla datorer med trafik", f"// Diese Zeile kann entfallen\n{WHOLE}", f"Der Filter, bitte:\n{WHOLE}")]
+    + [(x, "refusal") for x in ("Nobody here is willing to draft that.", "I have to pass on this one; please ask somebody else.", "My guidelines do not let me answer rules about offensive tools.")]
+    + [(x, None) for x in (f"// asked for by Müller and José\n{WHOLE}",)],
+)
+def test_the_field_decides_where_rules_would_err(tagger, response, defect):
+    assert tagger.defect(QUESTION, response) == defect != rule(response)
+
+
+def test_words_and_neighbours_are_learned(tagger):
+    names = tagger.field.names
+    assert len(names) > 2000 and {"w:guidelines", "b:able to", "t:sch", "p>query", "stub"} <= set(names)
+    # the same words are an answer beside a query and a refusal where there is none
+    told = "I can't see the index, so a default is used:"
+    assert tagger.defect(QUESTION, f"{told}\n{WHOLE}") is None
+
+
 def test_pair_defects(spark):
     rows = [(1, QUESTION, WHOLE, WHOLE), (2, QUESTION, None, None), (2, QUESTION, None, None), (3, None, QUESTION, None), (4, QUESTION, WHOLE[:40], "x"), (None, QUESTION, QUESTION, None), (6, QUESTION, "x " * 200_000, None)]
     df = spark.createDataFrame(rows + [(100 + i, q, r, r) for i, (q, r) in enumerate(REFERENCES)], "id long, q string, h string, ref string").withColumn("defect", F.lit(1))

@@ -3,8 +3,10 @@
 A response is cut into clauses: comments and sentences of prose, and the stages of a query.  A
 linear-chain conditional random field tags every clause as answer, refusal, echo, foreign or
 unfinished; the coverage of the tags over the response decides whether the pair is defective and how.
-The field is trained on responses made from a bounded sample of reference answers: whole, cut off at a
-place, with the question given back, with a refusal or with prose of another language.
+The field sees words, pairs of words, letter trigrams and likeness to the question in prose, commands, shapes and
+last signs in stages of a query, and what stands before and after.  What they mean it learns: from
+responses made of a bounded sample of reference answers - whole, cut off at a place, with the question given
+back - and of refusals, remarks and sentences of other languages (``pair_seeds``).
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.durable import spread
+from vigilframe.llm.pair_seeds import REMARKS, foreign_sentences, refusal
 
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -30,29 +33,6 @@ _FENCE = re.compile(r"```[a-zA-Z]*[ \t]*(?=\n|$)")
 _BARE_TAG = re.compile(r"</?[A-Za-z][\w-]*\s*/?>|<!--\s*-->|/\*\s*\*/")
 _PLACEHOLDERS = frozenset("none null nil na tbd todo undefined nan empty unknown placeholder missing pending void notavailable notapplicable nothing noanswer noresponse noresult noquery".split())
 
-# Word lists that tell languages apart: frequent words that English doesn't have.
-_FUNCTION_WORDS = {
-    "de": "der die das und ist nicht ein eine wird werden für mit auf von dem den nach bitte vor hier je über alle zuerst danach",
-    "fr": "le la les des une est et pour dans avec qui sur puis par au aux voici avant suivante cette vous requête règle",
-    "es": "el la los las una para que por con del está aquí siguiente antes luego primero consulta regla se según",
-    "it": "il la gli della dell di che per con una sono prima ecco segue seguente regola nel alla questa usarla",
-    "pt": "os uma para que por com não da do ao você seguir segue antes regra pedida consulta verifique quando",
-    "nl": "het een van voor met hier niet zijn deze volgende graag eerst en meldt regel wordt zoekopdracht telt",
-    "pl": "nie się jest dla oraz proszę według oto ją najpierw poniższe zapytanie reguła i w na do",
-    "tr": "bir için ve bu ile göre önce aşağıda aşağıdaki sorgu kuralı alanına istenen kullanmadan sayar",
-    "sv": "och att det är för med inte som här följande frågan räknar regeln till innan av ett",
-    "cs": "je se na že pro není tento dotaz podle nebo před následující pravidlo prosím které",
-    "id": "yang dan untuk dengan ini dari berikut aturan sebelum pada adalah kueri menghitung",
-    "vi": "là và của cho các được này trước khi sau đây truy vấn",
-}
-_FOREIGN = {w for ws in _FUNCTION_WORDS.values() for w in ws.split()} - set("i in on to as do no so an is at all per die us we am me he most van along".split())
-_ENGLISH = frozenset("the of to be for with this that it my not cannot can but and or by from than more over within when which values had every show find alert before use are were one used here query note sure what please".split())
-_REFUSES = re.compile(
-    r"\b(?:i|we)(?:'m| am|'re| are)? (?:(?:must|have to|need to|will|would|do|can|could|should)(?: not|n't)?|can't|cannot|won't|unable|not able|not allowed|not permitted|decline|refuse|prefer not)\b|\b(?:unable|not able|not allowed|not permitted) to\b|\bnot possible\b|\bguidelines\b|\bpolic(?:y|ies)\b|\bfalls outside\b|\b(?:decline|refuse)\b|\bnot something i\b|\bagainst my\b",
-    re.I,
-)
-_REGRET = re.compile(r"^\W*(?:i'm |i am |we are |we're )?(?:sorry|apologies|unfortunately|regrettably|thanks for asking|thank you for asking|as an? \w+ (?:assistant|model))|^\W*(?:i |i'm |my |it is |this falls )", re.I)
-
 # Shapes of finished stages, by their command.  A literal is L, a number 9 (see ``_mask``).
 _VALUE = r"(?:L|-?9[a-z]{0,2}|\w[\w.\\:/*%-]*)"
 _TEST = rf"(?:not\s+)?[\w.]+\s*(?:==|!=|<>|>=|<=|=~|!~|=|>|<|:|\blike~?\b|\bilike\b|\bhas\b|\bcontains\b|\bstartswith\b|\bendswith\b|\bmatches\b|\brlike\b)\s*(?:{_VALUE}|\w+\([^()]*\))|[\w.]+\s+(?:not\s+)?in\s*~?\s*\([^()]*\)|\w+\([^()]*\)|[\w.]+\s+is\s+(?:not\s+)?null"
@@ -123,18 +103,23 @@ def beginnings_of(texts: list[str]) -> frozenset[str]:
     return (frozenset(w[:k] for w in words for k in range(1, len(w))) | opened) - words
 
 
-def clauses(masked: str, beginnings: frozenset[str] = frozenset()) -> list[tuple[str, bool, bool, bool]]:
-    """The clauses of a masked response in order: text, part of a query, finished, within a comment.
+#: What the shape of a stage says: whole, broken, or of no known shape.
+WHOLE, BROKEN, SHAPELESS = "whole", "broken", "shapeless"
+Clause = tuple[str, bool, str, bool]
+
+
+def clauses(masked: str, beginnings: frozenset[str] = frozenset()) -> list[Clause]:
+    """The clauses of a masked response in order: text, part of a query, state of its shape, within a comment.
 
-    beginnings: words that are only the beginning of known ones; a query doesn't end with one.
+    beginnings: what is only the beginning of a known answer; a response of nothing else is a query broken off.
     """
-    found: list[tuple[str, bool, bool, bool]] = []
+    found: list[Clause] = []
     body = _INVISIBLE.sub("", masked)
 
     def prose(text: str, comment: bool) -> None:
         for s in re.split(r"(?<=[.!?。])\s+|\n+", text):
             if _ALNUM.search(s):
-                found.append((s.strip(), False, True, comment))
+                found.append((s.strip(), False, WHOLE, comment))
 
     rest, pos = [], 0
     for m in _COMMENT.finditer(body):
@@ -148,7 +133,7 @@ def clauses(masked: str, beginnings: frozenset[str] = frozenset()) -> list[tuple
     at = _head(body)
     if at is None:
         if body.strip() in beginnings:
-            found.append((body.strip(), True, False, False))
+            found.append((body.strip(), True, BROKEN, False))
         else:
             prose(body, False)
         return found
@@ -162,132 +147,184 @@ def clauses(masked: str, beginnings: frozenset[str] = frozenset()) -> list[tuple
     for k, stage in enumerate(stages):
         s = stage.strip()
         if not k:
-            done = bool(whole.fullmatch(s))
+            shape = whole
         else:
-            word = s.split(None, 1)[0].lower() if s else ""
-            shape = _STAGE.get(word)
-            done = bool(shape.fullmatch(s.rstrip(";").rstrip())) if shape else False
-        if done and k and k == len(stages) - 1 and beginnings:
-            end = re.search(r"[A-Za-z_]\w*\Z", s)
-            done = not (end and end.group() in beginnings)
-        found.append((s, True, done, False))
+            shape = _STAGE.get(s.split(None, 1)[0].lower() if s else "")
+            s = s.rstrip(";").rstrip()
+        state = BROKEN if not s else SHAPELESS if shape is None else WHOLE if shape.fullmatch(s) else BROKEN
+        found.append((s, True, state, False))
     for p in after:
         prose(p, False)
     return found
 
 
-FEATURES = ("bias", "query", "finished", "unfinished", "last_of_query", "ellipsis", "prose", "refuses", "regret", "echo", "echo_part", "script", "foreign_words", "foreign_letters", "english", "comment", "with_query", "first")
-_F = {n: i for i, n in enumerate(FEATURES)}
 _NOT_LATIN = re.compile(r"[Ͱ-ϿЀ-ӿ԰-֏֐-׿؀-ۿऀ-෿฀-๿Ⴀ-ჿ぀-ヿ㐀-鿿가-힯]")
 _ACCENT = re.compile(r"[À-ÖØ-öø-ÿĀ-ſ]")
 
 
-def _features(cs: list[tuple[str, bool, bool, bool]], echoes: list[float] | None) -> list[tuple[int, ...]]:
-    with_query = any(q for _, q, _, _ in cs)
+_LAST = re.compile(r"[A-Za-z_]\w*\Z")
+_SIGNS = re.compile(r"[A-Za-z_][\w.]*|\d+|[<>=!~]+|\S")
+Weighed = dict[str, float]
+
+
+def _sign(token: str) -> str:
+    return "L" if token == "L" else "a" if token[0].isalpha() or token[0] == "_" else "9" if token[0].isdigit() else "=" if token[0] in "<>=!~" else token
+
+
+def _stage_features(text: str, state: str, last: bool, beginnings: frozenset[str]) -> Weighed:
+    low = text.lower()
+    place = "last" if last else "inner"
+    tokens = _SIGNS.findall(text)
+    signs = [_sign(t) for t in tokens]
+    word = tokens[0].lower() if tokens else ""
+    told = [f"{place}:{state}", f"{place}:ends:{''.join(signs[-1:])}:{state}", f"{place}:ends2:{''.join(signs[-2:])}:{state}", f"{place}:{word}:ends:{''.join(signs[-1:])}", f"{place}:{word}:{state}"]
+    if text.count("(") != text.count(")") or text.count("[") != text.count("]") or text.count("<") - text.count("</") * 2 > 1 and low.startswith("<"):
+        told.append(f"{place}:open")
+    if text.count('"') % 2:
+        told.append(f"{place}:quote")
+    if len(signs) == 1:
+        told.append(f"{place}:bare:{state}")
+    if last:
+        stub = _LAST.search(text)
+        if stub and stub.group() in beginnings:
+            told += ["stub", f"stub:{state}", f"stub:{min(len(stub.group()), 4)}"]
+        if _ELLIPSIS.search(text):
+            told.append("ellipsis")
+    return dict.fromkeys(told, 1.0)
+
+
+def _prose_features(text: str, comment: bool, echo: float) -> Weighed:
+    words = [w.lower() for w in _WORD.findall(text.replace("’", "'"))]
+    out: Weighed = {"prose": 1.0, "comment" if comment else "bare": 1.0}
+
+    def group(kind: str, found: list[str]) -> None:
+        for f in found:
+            key = kind + f
+            out[key] = out.get(key, 0.0) + 1 / len(found) ** 0.5
+
+    group("w:", words)
+    group("b:", [f"{x} {y}" for x, y in zip(words, words[1:])])
+    padded = [f"^{w}$" for w in words]
+    group("t:", [w[k : k + 3] for w in padded for k in range(len(w) - 2)])
+    letters = sum(map(str.isalpha, text))
+    if letters and 4 * len(_NOT_LATIN.findall(text)) > letters:
+        out["script"] = 2.0
+    if _ACCENT.search(text):
+        out["accent"] = 1.0
+    for level in (0.5, 0.7, 0.85):
+        if echo >= level:
+            out[f"echo:{level}"] = 1.0
+    return out
+
+
+def _features(cs: list[Clause], echoes: list[float] | None, beginnings: frozenset[str] = frozenset()) -> list[Weighed]:
     last = max((k for k, c in enumerate(cs) if c[1]), default=-1)
+    kinds = ["none", *("query" if c[1] else "prose" for c in cs), "none"]
     out = []
-    for k, (text, query, finished, comment) in enumerate(cs):
-        f = [_F["bias"]]
-        if with_query:
-            f.append(_F["with_query"])
-        if not k:
-            f.append(_F["first"])
-        if query:
-            f.append(_F["query"])
-            f.append(_F["finished" if finished else "unfinished"])
-            if k == last:
-                f.append(_F["last_of_query"])
-                if _ELLIPSIS.search(text):
-                    f.append(_F["ellipsis"])
-        else:
-            f.append(_F["prose"])
-            if comment:
-                f.append(_F["comment"])
-            low = [w.lower() for w in _WORD.findall(text)]
-            foreign = sum(w in _FOREIGN for w in low)
-            english = sum(w in _ENGLISH for w in low)
-            if _NOT_LATIN.search(text):
-                f.append(_F["script"])
-            if foreign >= 2 and foreign > english:
-                f.append(_F["foreign_words"])
-            if _ACCENT.search(text) and english <= foreign + 1:
-                f.append(_F["foreign_letters"])
-            if english >= 2 and english > foreign:
-                f.append(_F["english"])
-            if _REFUSES.search(text.replace("’", "'")):
-                f.append(_F["refuses"])
-            if _REGRET.search(text.replace("’", "'")):
-                f.append(_F["regret"])
-            e = echoes[k] if echoes else 0.0
-            if e >= 0.7:
-                f.append(_F["echo"])
-            elif e >= 0.5:
-                f.append(_F["echo_part"])
-        out.append(tuple(f))
+    for k, (text, query, state, comment) in enumerate(cs):
+        f = _stage_features(text, state, k == last, beginnings) if query else _prose_features(text, comment, echoes[k] if echoes else 0.0)
+        here = "q" if query else "p"
+        f[here] = f[f"{here}<{kinds[k]}"] = f[f"{here}>{kinds[k + 2]}"] = 1.0
+        if not query:
+            f["beside a query" if last >= 0 else "no query"] = 1.0
+        out.append(f)
     return out
 
 
+Example = tuple[list[Weighed], list[int]]
+
+
 class ChainField:
-    """A linear-chain conditional random field over sets of binary features."""
+    """A linear-chain conditional random field over weighed features."""
 
-    def __init__(self, weights: np.ndarray, steps: np.ndarray) -> None:
-        self.weights, self.steps = weights, steps
+    def __init__(self, names: dict[str, int], weights: np.ndarray, steps: np.ndarray) -> None:
+        self.names, self.weights, self.steps = names, weights, steps
 
     @classmethod
-    def train(cls, examples: list[tuple[tuple[tuple[int, ...], ...], tuple[int, ...]]], rounds: int = 80, rate: float = 0.5, penalty: float = 1e-3) -> "ChainField":
-        """Maximises the likelihood by adaptive gradient steps over all (equal ones counted) examples."""
-        n, m = len(TAGS), len(FEATURES)
-        counted: dict = {}
-        for e in examples:
-            counted[e] = counted.get(e, 0) + 1
-        w, t = np.zeros((n, m)), np.zeros((n, n))
-        gw2, gt2 = np.full((n, m), 1e-6), np.full((n, n), 1e-6)
+    def train(cls, examples: list[Example], rounds: int = 60, rate: float = 0.4, penalty: float = 3e-5) -> "ChainField":
+        """Maximises the likelihood by adaptive gradient steps over all (equal ones counted) examples.  Features of a single example are left out."""
+        n = len(TAGS)
+        counted: dict[tuple, int] = {}
+        kept: dict[tuple, Example] = {}
+        for fs, ys in examples:
+            key = (tuple(tuple(sorted(f.items())) for f in fs), tuple(ys))
+            counted[key] = counted.get(key, 0) + 1
+            kept[key] = (fs, ys)
+        seen: dict[str, int] = {}
+        for fs, _ in kept.values():
+            for name in {name for f in fs for name in f}:
+                seen[name] = seen.get(name, 0) + 1
+        names = {name: k for k, name in enumerate(sorted(x for x, c in seen.items() if c > 1))}
+        order = sorted(kept, key=lambda key: (len(key[1]), key))
         total = max(1, len(examples))
-        prepared = []
-        for (fs, ys), c in sorted(counted.items()):
-            x = np.zeros((len(fs), m))
-            for k, f in enumerate(fs):
-                x[k, list(f)] = 1
-            prepared.append((x, np.array(ys), c / total))
+        flat, value, length, tag, share, sizes = [], [], [], [], [], []
+        for key in order:
+            fs, ys = kept[key]
+            sizes.append(len(ys))
+            for f, y in zip(fs, ys):
+                on = [(names[x], v) for x, v in f.items() if x in names]
+                flat += [x for x, _ in on]
+                value += [v for _, v in on]
+                length.append(len(on))
+                tag.append(y)
+                share.append(counted[key] / total)
+        flat, value, length, tag, share = np.array(flat, np.int64), np.array(value), np.array(length), np.array(tag, np.int64), np.array(share)
+        row = np.repeat(np.arange(len(length)), length)
+        w, t = np.zeros((len(names), n)), np.zeros((n, n))
+        gw2, gt2 = np.full(w.shape, 1e-6), np.full(t.shape, 1e-6)
+        sizes = np.array(sizes)
         for _ in range(rounds):
-            gw, gt = -penalty * w, -penalty * t
-            for x, ys, c in prepared:
-                p, pair = cls._marginals(x @ w.T, t)
+            score = np.zeros((len(length), n))
+            for y in range(n):
+                score[:, y] = np.bincount(row, weights=w[flat, y] * value, minlength=len(length))
+            delta, gt, at = np.zeros_like(score), -penalty * t, 0
+            for size in np.unique(sizes):
+                many = int((sizes == size).sum())
+                part = slice(at, at + many * size)
+                at += many * size
+                p, pair = cls._marginals(score[part].reshape(many, size, n), t)
+                c, ys = share[part].reshape(many, size), tag[part].reshape(many, size)
                 d = -p
-                d[np.arange(len(ys)), ys] += 1
-                gw += c * (d.T @ x)
-                if len(ys) > 1:
-                    gt -= c * pair
-                    np.add.at(gt, (ys[:-1], ys[1:]), c)
+                np.put_along_axis(d, ys[:, :, None], np.take_along_axis(d, ys[:, :, None], 2) + 1, 2)
+                delta[part] = (d * c[:, :, None]).reshape(-1, n)
+                if size > 1:
+                    gt -= (pair * c[:, 0, None, None]).sum(0)
+                    np.add.at(gt, (ys[:, :-1].ravel(), ys[:, 1:].ravel()), np.repeat(c[:, 0], size - 1))
+            gw = np.stack([np.bincount(flat, weights=delta[row, y] * value, minlength=len(names)) for y in range(n)], 1) - penalty * w
             gw2 += gw**2
             gt2 += gt**2
             w += rate * gw / np.sqrt(gw2)
             t += rate * gt / np.sqrt(gt2)
-        return cls(w, t)
+        return cls(names, w, t)
 
     @staticmethod
     def _marginals(score: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        length, n = score.shape
-        e, s = np.exp(score - score.max(1, keepdims=True)), np.exp(steps - steps.max())
-        a, b = np.zeros((length, n)), np.ones((length, n))
-        a[0] = e[0] / e[0].sum()
+        """Marginals of tags and summed marginals of neighbours, of sequences of one length (many x length x tags)."""
+        many, length, n = score.shape
+        e, s = np.exp(score - score.max(2, keepdims=True)), np.exp(steps - steps.max())
+        a, b = np.zeros_like(e), np.ones_like(e)
+        a[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
         for k in range(1, length):
-            a[k] = e[k] * (a[k - 1] @ s)
-            a[k] /= a[k].sum()
+            a[:, k] = e[:, k] * (a[:, k - 1] @ s)
+            a[:, k] /= a[:, k].sum(1, keepdims=True)
         for k in range(length - 2, -1, -1):
-            b[k] = s @ (e[k + 1] * b[k + 1])
-            b[k] /= b[k].sum()
+            b[:, k] = (e[:, k + 1] * b[:, k + 1]) @ s.T
+            b[:, k] /= b[:, k].sum(1, keepdims=True)
         p = a * b
-        p /= p.sum(1, keepdims=True)
-        pair = np.zeros((n, n))
+        p /= p.sum(2, keepdims=True)
+        pair = np.zeros((many, n, n))
         for k in range(length - 1):
-            j = a[k][:, None] * s * (e[k + 1] * b[k + 1])[None, :]
-            pair += j / j.sum()
+            j = a[:, k, :, None] * s[None] * (e[:, k + 1] * b[:, k + 1])[:, None, :]
+            pair += j / j.sum((1, 2), keepdims=True)
         return p, pair
 
-    def tags(self, features: list[tuple[int, ...]]) -> list[int]:
+    def tags(self, features: list[Weighed]) -> list[int]:
         """The likeliest tags of a response's clauses."""
-        score = np.array([self.weights[:, list(f)].sum(1) for f in features])
+        score = np.zeros((len(features), len(TAGS)))
+        for k, f in enumerate(features):
+            on = [(self.names[x], v) for x, v in f.items() if x in self.names]
+            if on:
+                score[k] = np.array([v for _, v in on]) @ self.weights[[x for x, _ in on]]
         best, back = score[0], []
         for row in score[1:]:
             all_ = best[:, None] + self.steps
@@ -308,7 +345,7 @@ def _echo(question: list[str], text: str) -> float:
     return len(mine & theirs) / min(len(mine), len(theirs)) if min(len(mine), len(theirs)) >= 0.4 * max(len(mine), len(theirs)) else len(mine & theirs) / len(mine) * 0.99
 
 
-def decide(tags: list[int], cs: list[tuple[str, bool, bool, bool]]) -> str | None:
+def decide(tags: list[int], cs: list[Clause]) -> str | None:
     """The pair's defect by the clauses' coverage (characters of each tag).
 
     Prose of another language is a defect of its own; an unfinished query is, whatever stands beside it;
@@ -329,60 +366,72 @@ def decide(tags: list[int], cs: list[tuple[str, bool, bool, bool]]) -> str | Non
     return "copy" if cover[ECHO] else None
 
 
-_SEED_REFUSALS = ("I can't help with that.", "Sorry, I cannot assist with this request.", "I'm unable to comply.", "Unfortunately I must decline this.", "I won't write that rule.", "As an AI model, I am not able to answer this.", "It is not possible for me to provide it.", "My guidelines do not let me answer.", "This falls outside what I may do.", "I have to pass on this one. Please ask someone else.", "I refuse to write it.")
-_SEED_REMARKS = ("Sure.", "Here is the query:", "Adjust the limit before use.", "This counts the events per key.", "I can't see the exact index, so a default is used:", "Note that empty values are kept.", "cannot rely on the field, so another is used", "sorry for the long window", "excludes nothing")
+#: Share of the stages whose shape is hidden in training, so that stages of no known shape are judged by the rest.
+HIDDEN = 0.25
+
 
+def training_examples(rows: list[tuple[str, str]], seed: int = 5) -> list[Example]:
+    """Tagged responses made from (question, reference answer).
 
-def training_examples(rows: list[tuple[str, str]], seed: int = 5) -> list:
-    """Tagged responses made from (question, reference answer)."""
+    Beginnings of words are told by the answers of the other half, so that the field learns how far they are to be trusted.
+    """
     rng = random.Random(seed)
-    made = []
-    beginnings = beginnings_of([r for _, r in rows])
+    made: list[Example] = []
+    halves = [beginnings_of([r for _, r in rows[k::2]]) for k in (1, 0)]
+    languages = foreign_sentences()
 
-    def add(text: str, question: str, tag_prose: int, tag_query: int) -> None:
+    def add(text: str, question: str, tag_prose: int, tag_query: int, beginnings: frozenset[str]) -> None:
         cs = clauses(_mask(text), beginnings)
         if not cs:
             return
         words = _ALNUM.findall(question.lower())
-        fs = _features(cs, [_echo(words, _unmasked(c, text)) for c in cs])
+        shown = [(c[0], True, SHAPELESS if rng.random() < HIDDEN else c[2], False) if c[1] else c for c in cs]
         last = max((k for k, c in enumerate(cs) if c[1]), default=-1)
         if tag_query == UNFINISHED and last < 0:
             return
-        ys = tuple((tag_query if k == last else ANSWER) if c[1] else tag_prose for k, c in enumerate(cs))
-        made.append((tuple(fs), ys))
-
-    for question, answer in rows:
-        remark = rng.choice(_SEED_REMARKS)
-        for text in (answer, f"{remark}\n{answer}", f"// {remark}\n{answer}"):
-            add(text, question, ANSWER, ANSWER)
-        add(f"// {question}\n{answer}", question, ANSWER, ANSWER)
-        broken = answer[: rng.randint(max(1, len(answer) // 6), max(2, len(answer) - 2))].rstrip()
-        parts = clauses(_mask(broken), beginnings)
-        if parts and not all(c[2] for c in parts if c[1]):
-            add(broken, question, ANSWER, UNFINISHED)
-            add(f"{remark}\n{broken}", question, ANSWER, UNFINISHED)
-            add(broken + " ...", question, ANSWER, UNFINISHED)
-        for frame in ("{}", "// {}", "```\n{}\n```", "{} Please ask someone else."):
-            add(frame.format(rng.choice(_SEED_REFUSALS)), question, REFUSAL, ANSWER)
+        made.append((_features(shown, [_echo(words, _unmasked(c, text)) for c in cs], beginnings), [(tag_query if k == last else ANSWER) if c[1] else tag_prose for k, c in enumerate(cs)]))
+
+    for n, (question, answer) in enumerate(rows):
+        known = halves[n % 2]
+        tell = lambda text, prose, query: add(text, question, prose, query, known)  # noqa: B023, E731
+        remark, other = rng.choice(REMARKS), rng.choice(REMARKS)
+        for text in (answer, answer, f"{remark}\n{answer}", f"// {remark}\n{answer}", f"{answer}\n\n{other}", f"<!-- {other} -->\n{answer}"):
+            tell(text, ANSWER, ANSWER)
+        tell(f"// {question}\n{answer}", ANSWER, ANSWER)
+        stages = answer.split("|")
+        if len(stages) > 2 and not answer.startswith("<"):  # a query without its last stages is one, too
+            tell("|".join(stages[: rng.randint(2, len(stages) - 1)]).rstrip(), ANSWER, ANSWER)
+        for _ in range(2):
+            broken = answer[: rng.randint(max(1, len(answer) // 6), max(2, len(answer) - 2))].rstrip()
+            # a cut behind a whole stage leaves a whole query, so it shows nothing
+            parts = [c for c in clauses(_mask(broken), known) if c[1]]
+            end = _LAST.search(_mask(broken))
+            if parts and (any(c[2] == BROKEN for c in parts) or end and end.group() in known):
+                tell(broken, ANSWER, UNFINISHED)
+                tell(f"{remark}\n{broken}", ANSWER, UNFINISHED)
+                tell(broken + rng.choice((" ...", "...", " …", "…")), ANSWER, UNFINISHED)
+        for frame in ("{}", "{}", "// {}", "```\n{}\n```"):
+            tell(frame.format(refusal(rng)), REFUSAL, ANSWER)
         # prose that is none of all that
-        add(remark, question, ANSWER, ANSWER)
-        add(rng.choice(rows)[0], "of something else entirely", ANSWER, ANSWER)
-        add(" ".join("".join(rng.choices("bdklmnprst", k=5)) for _ in range(6)), question, ANSWER, ANSWER)
+        tell(remark, ANSWER, ANSWER)
+        add(rng.choice(rows)[0], "of something else entirely", ANSWER, ANSWER, known)
+        tell(" ".join("".join(rng.choices("bdklmnprst", k=5)) for _ in range(6)), ANSWER, ANSWER)
         words = question.split()
         if len(words) > 6:
             drop = rng.randrange(len(words))
-            add(question, question, ECHO, ANSWER)
-            add(" ".join(words[:drop] + words[drop + 1 :]).lower(), question, ECHO, ANSWER)
-        language = rng.choice(sorted(_FUNCTION_WORDS))
-        foreign = " ".join(rng.choices(_FUNCTION_WORDS[language].split(), k=8)).capitalize() + "."
-        add(foreign, question, FOREIGN, ANSWER)
-        add(f"{foreign}\n{answer}", question, FOREIGN, ANSWER)
-        add(f"// {foreign}\n{answer}", question, FOREIGN, ANSWER)
-        add("次のクエリはイベントを数えます。\n" + answer, question, FOREIGN, ANSWER)
+            tell(question, ECHO, ANSWER)
+            tell(" ".join(words[:drop] + words[drop + 1 :]).lower(), ECHO, ANSWER)
+        for _ in range(2):
+            foreign = rng.choice(languages[rng.choice(sorted(languages))])
+            if rng.random() < 0.5:  # names of fields, numbers and objects of the question stand in it, too
+                at, more = rng.randrange(len(foreign.split()) + 1), rng.choice(words or ["x"])
+                foreign = " ".join([*foreign.split()[:at], more, *foreign.split()[at:]])
+            for frame in ("{}", "{}\n{answer}", "// {}\n{answer}", "{answer}\n\n{}"):
+                tell(frame.format(foreign, answer=answer), FOREIGN, ANSWER)
     return made
 
 
-def _unmasked(clause: tuple[str, bool, bool, bool], text: str) -> str:
+def _unmasked(clause: Clause, text: str) -> str:
     """The words of a prose clause; numbers are compared as they stand in the text."""
     return clause[0] if "9" not in clause[0] else " ".join(dict.fromkeys([*_ALNUM.findall(clause[0]), *_DIGITS.findall(text)]))
 
@@ -404,7 +453,7 @@ class PairTagger:
         if not cs:
             return "empty"
         if any(c[1] for c in cs):
-            found = decide(self.field.tags(_features(cs, None)), cs)
+            found = decide(self.field.tags(_features(cs, None, self.beginnings)), cs)
             if len(self.known) < 200_000:
                 self.known[masked] = found
             return found
@@ -412,7 +461,7 @@ class PairTagger:
         # A question given back in several sentences or lines is one echo.
         whole = _echo(words, response)
         echoes = [max(_echo(words, _unmasked(c, response)), whole) for c in cs]
-        return decide(self.field.tags(_features(cs, echoes)), cs)
+        return decide(self.field.tags(_features(cs, echoes, self.beginnings)), cs)
 
 
 def pair_defects(df: DataFrame, id_col: str, question: str, response: str, reference: str, training_rows: int = TRAINING_ROWS) -> DataFrame:
@@ -428,12 +477,12 @@ def pair_defects(df: DataFrame, id_col: str, question: str, response: str, refer
     sample = usable.groupBy(F.pmod("h", F.lit(training_rows)).alias("range")).agg(F.min(F.struct("h", "q", "r")).alias("s")).select("s.q", "s.r").collect()
     rows = sorted((x.q, x.r) for x in sample) or [("find all events of one user", "")]
     field = ChainField.train(training_examples(rows))
-    shared = df.sparkSession.sparkContext.broadcast((field.weights, field.steps, beginnings_of([r for _, r in rows])))
+    shared = df.sparkSession.sparkContext.broadcast((field.names, field.weights, field.steps, beginnings_of([r for _, r in rows])))
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, steps, beginnings = shared.value
-        tagger = PairTagger(ChainField(weights, steps), beginnings)
+        names, weights, steps, beginnings = shared.value
+        tagger = PairTagger(ChainField(names, weights, steps), beginnings)
         for batch in batches:
             found = [tagger.defect(q, r) for q, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             keep = pa.array([f is not None for f in found])
