@@ -28,7 +28,7 @@ def test_field_names():
 def test_validated(spark):
     rows = [(1, '{"action": "filter"}'), (2, '{"Action": "aggregate"}'), (3, None), (4, "{"), (5, '{"action": "filter", "timeWindow": {"duration": "5m"}}')]
     got = {r.i: r for r in validated(spark.createDataFrame(rows, "i long, d string"), "d").collect()}
-    assert got[1].error is None and got[1].warnings and "requires an aggregation" in got[2].error and got[3].error == got[4].error == "unreadable" and "window=5m" in got[5].summary
+    assert got[1].error is None and got[1].warnings and "requires an aggregation" in got[2].error and got[3].error == got[4].error == "unreadable" and "within 5m" in got[5].summary
 
 
 def test_usage_and_context(spark):

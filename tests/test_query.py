@@ -37,7 +37,7 @@ def test_bad_documents(bad):
 
 def test_words():
     q = parse(DOCUMENT)
-    assert q.summary() == "action=filter+aggregate | event=authentication | window=24h | agg=count(by=[src_ip]) | threshold=attempt_countgt50"
+    assert q.summary() == "count by src_ip over authentication within 24h, attempt_count gt 50"
     assert say(q) == "Find authentication events where status is failed, with the number of events per src ip that is greater than 50, in the last 24 hours"
     assert parse(q.to_dict()) == q and seconds("3m") == 180 and warnings({"action": "filter"})
     assert len({say(q, k) for k in range(3)}) == 3

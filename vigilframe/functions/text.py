@@ -21,14 +21,25 @@ def normal_document(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "\r\n", "\n"), r"[ \t]+", " "), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+# Spellings that count as one token's.
+_SPELLINGS = (
+    (r"\bcount\s*\(\s*\*?\s*\)", "count"),
+    (r"\bcount\s*\(\s*distinct\b", "count_distinct"),
+    (">=", "gte"),
+    ("<=", "lte"),
+    ("!=", "neq"),
+    ("==", "eq"),
+)
+# Signs that are tokens of their own.
+_SIGNS = r"|=><!()\[\]{},;"
+
+
 def query_tokens(x: Column) -> Column:
-    """Tokens of a query in lower case: operators and calls brought to one spelling, punctuation set apart."""
-    for pattern, to in (
-        (r"(?i)\bcount\s*\(\s*\*?\s*\)", "COUNT"), (r"(?i)\bcount\s*\(\s*distinct\b", "COUNT_DISTINCT"), (r"(?i)\b(sum|avg|min|max)\s*\(", "$1("),
-        (">=", "GTE"), ("<=", "LTE"), ("!=", "NEQ"), ("==", "EQ"), (r"([|=><!()\[\]{},;])", " $1 "),
-    ):
-        x = F.regexp_replace(x, pattern, to)
-    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"\s+"), lambda t: t != "")
+    """Tokens of a query in lower case: calls and operators in one spelling, runs of other characters and single signs."""
+    spelt = F.lower(F.coalesce(x, F.lit("")))
+    for pattern, name in _SPELLINGS:
+        spelt = F.regexp_replace(spelt, pattern, name)
+    return F.regexp_extract_all(spelt, F.lit(rf"([^\s{_SIGNS}]+|[{_SIGNS}])"), F.lit(1))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -47,12 +47,6 @@ def sequential_ids(df: DataFrame, order: list[str], prefix: str = "SB", width: i
     return number_rows(df, [F.asc(c) for c in order], "_n").select("*", F.format_string(f"{prefix}-%0{width}d", F.col("_n")).alias("seq_id")).drop("_n")
 
 
-def complexity(text: Column, simple: list[str], complex_: list[str]) -> Column:
-    low = F.lower(text)
-    has = lambda words: F.lit(False) if not words else F.greatest(*(F.contains(low, F.lit(w)) for w in words), F.lit(False))
-    return F.when(has(complex_), "complex").when(has(simple), "simple").otherwise("intermediate")
-
-
 def quality_gate(df: DataFrame, valid_platforms: Column, least: int = 3) -> DataFrame:
     """Rows with how many platforms are valid and whether that is enough."""
     return df.withColumn("n_valid", valid_platforms).withColumn("accepted", F.col("n_valid") >= least)
