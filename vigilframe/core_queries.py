@@ -312,6 +312,14 @@ def vector_top_k(spark: SparkSession, d: str) -> DataFrame:
     return top_k(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10, where=F.col("label") < 5).select("query_id", "vec_id", "rank")
 
 
+@query("vector_nearest", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_sum(list_transform(generate_series(1, len(embedding)), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(q[i] AS DOUBLE))) AS score FROM embeddings, q) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
+def vector_nearest(spark: SparkSession, d: str) -> DataFrame:
+    from vigilframe.operators.vectors import top_k
+
+    v = table(spark, d, "embeddings")
+    return top_k(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10).select("query_id", "vec_id", "rank")
+
+
 @query("vector_mmr")
 def vector_mmr(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.operators.vectors import mmr
@@ -458,14 +466,11 @@ def coverage_(spark: SparkSession, d: str) -> DataFrame:
     return coverage(*_coverage_inputs(spark, d))
 
 
-_RULES_ONE = _RULES.replace("FROM examples)", "FROM examples WHERE tactic = 'discovery')")
-
-
-@query("coverage_gaps", f"SELECT technique_id FROM {_TAXONOMY} WHERE NOT sub AND technique_id NOT IN (SELECT t FROM {_RULES_ONE} WHERE t IS NOT NULL) AND technique_id NOT IN (SELECT k.parent_id FROM {_RULES_ONE} r JOIN {_TAXONOMY} k ON r.t = k.technique_id WHERE k.sub AND k.parent_id IS NOT NULL)")
+@query("coverage_gaps", f"SELECT technique_id FROM {_TAXONOMY} WHERE NOT sub AND technique_id NOT IN (SELECT t FROM {_RULES} WHERE t IS NOT NULL) AND technique_id NOT IN (SELECT k.parent_id FROM {_RULES} r JOIN {_TAXONOMY} k ON r.t = k.technique_id WHERE k.sub AND k.parent_id IS NOT NULL)")
 def coverage_gaps_(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.operators.evaluation import coverage_gaps
 
-    return coverage_gaps(*_coverage_inputs(spark, d, "tactic = 'discovery'"))
+    return coverage_gaps(*_coverage_inputs(spark, d))
 
 
 @query("label_fidelity", "WITH c AS (SELECT query_id, condition, count(*) AS n FROM ablation WHERE condition IS NOT NULL GROUP BY ALL) SELECT query_id, CAST(sum(n) AS BIGINT) AS labels, max(n) AS agreeing, count(*) = 1 AS consistent FROM c GROUP BY 1")
@@ -509,7 +514,7 @@ def benchmark_resume(spark: SparkSession, d: str) -> DataFrame:
     return not_done(e, e.filter("tactic = 'execution'"), "nl_query").select("ex_id")
 
 
-@query("benchmark_split")
+@query("benchmark_split", "WITH g AS (SELECT technique_id AS g, min(complexity) AS t FROM seed_queries WHERE technique_id IS NOT NULL GROUP BY 1), p AS (SELECT g, row_number() OVER (PARTITION BY t ORDER BY md5('42|' || g), g) AS n, count(*) OVER (PARTITION BY t) AS k FROM g), c AS (SELECT g, n, round_even(k * 0.7::DOUBLE, 0) AS a, round_even(k * 0.7::DOUBLE, 0) + round_even(k * 0.15::DOUBLE, 0) AS b FROM p) SELECT seed_id, technique_id, CASE WHEN n <= a THEN 'train' WHEN n <= b THEN 'validation' ELSE 'test' END AS split FROM seed_queries JOIN c ON technique_id = g")
 def benchmark_split(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.operators.benchmark import stratified_split
 

@@ -29,11 +29,11 @@ def not_done(df: DataFrame, done: DataFrame, text: str) -> DataFrame:
 def stratified_split(df: DataFrame, group: str, tier: str, seed: int = 42, train: float = 0.70, validation: float = 0.15) -> DataFrame:
     """Every row with its split; groups stay whole and each tier is cut at rounded shares (half to even).
 
-    Groups are ordered by a hash of seed and group, so the split is the same under any partitioning.  A group
+    Groups are ordered by the MD5 of seed and group, so the split is the same under any partitioning.  A group
     of several tiers counts in the least of them.
     """
     groups = df.groupBy(group).agg(F.min(tier).alias("_tier"))
-    numbered = number_within(groups, ["_tier"], [F.xxhash64(F.lit(seed), F.col(group)), F.col(group)], "_n")
+    numbered = number_within(groups, ["_tier"], [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group))), F.col(group)], "_n")
     sizes = groups.groupBy(F.col("_tier").alias("_of")).agg(F.count(F.lit(1)).alias("_all"))
     placed = numbered.join(sizes, F.col("_tier").eqNullSafe(F.col("_of")))
     a = F.bround(F.col("_all") * F.lit(train), 0)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+from xml.etree import ElementTree
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +36,38 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: str | T.StructTyp
     return parsed.filter(~bad).select(*(F.col(f"r.`{f.name}`").alias(f.name) for f in struct.fields)), parsed.filter(bad).select(F.col("value").alias("line"))
 
 
+def stream_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """Records of JSON lines as a stream; bad lines are left out."""
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    marked = T.StructType([*struct.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = spark.readStream.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    return parsed.filter(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()).select(*(F.col(f"r.`{f.name}`").alias(f.name) for f in struct.fields))
+
+
+def append_stream(stream: DataFrame, path: str, progress: str, wait: bool = True):
+    """Appends the results of a stream to files, each exactly once; with ``wait`` up to what is there now, else on and on."""
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", progress)
+    running = (writer.trigger(availableNow=True) if wait else writer).start()
+    if wait:
+        running.awaitTermination()
+    return running
+
+
+def write_document(df: DataFrame, path: str, key: str | None = None) -> None:
+    """One JSON document: a list of the rows, under ``key`` if given.  For results that one document may hold."""
+    rows = F.collect_list(F.struct(*df.columns))
+    df.agg(F.to_json(F.struct(rows.alias(key)) if key else rows).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+RULE_FIELDS = "id string, platform string, technique string, sub_technique string"
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules for the coverage audit (RULE_FIELDS) from JSON lines; what is missing is null, bad lines are left out."""
+    return read_jsonl_lenient(spark, path, RULE_FIELDS)[0]
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -64,10 +101,14 @@ def manifest(spark: SparkSession, path: str, glob: str | None = None) -> DataFra
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
-def latest_file(spark: SparkSession, path: str, glob: str) -> str | None:
-    """The greatest name that matches, if any."""
-    row = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).agg(F.max("path").alias("p")).first()
-    return row.p
+def latest_file(spark: SparkSession, path: str, glob: str, combined: str | None = None) -> str | None:
+    """The greatest name that matches, else the file named ``combined`` if it is there, else none."""
+    for names in (glob, combined):
+        if names:
+            row = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).agg(F.max("path").alias("p")).first()
+            if row.p is not None:
+                return row.p
+    return None
 
 
 def read_stix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -112,6 +153,50 @@ def latex(df: DataFrame) -> str:
     return "\n".join([r"\begin{tabular}{" + "l" * len(names) + "}", " & ".join(map(cell, names)) + r" \\ \hline", *(" & ".join(map(cell, r)) + r" \\" for r in rows), r"\end{tabular}"])
 
 
-def write_rules(df: DataFrame, path: str, column: str, mode: str = "overwrite") -> None:
-    """Rule documents, one a line."""
-    df.select(F.regexp_replace(column, r"\s*\n\s*", " ").alias("value")).write.mode(mode).text(path)
+def csv_text(df: DataFrame) -> str:
+    names, rows = small_rows(df)
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(names)
+    writer.writerows(["" if v is None else v for v in r] for r in rows)
+    return out.getvalue()
+
+
+def json_text(df: DataFrame) -> str:
+    names, rows = small_rows(df)
+    return json.dumps([dict(zip(names, r)) for r in rows], indent=2, ensure_ascii=False, default=str)
+
+
+def console(df: DataFrame, width: int = 40) -> str:
+    """Columns as wide as their widest cell, at most ``width``; numbers to the right."""
+    names, rows = small_rows(df)
+    shown = [[("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)).replace("\n", " ")[:width] for v in r] for r in rows]
+    wide = [max(map(len, column)) for column in zip(names, *shown)]
+    right = [bool(rows) and all(isinstance(r[k], (int, float)) for r in rows) for k in range(len(names))]
+    line = lambda cells: "  ".join(c.rjust(w) if r else c.ljust(w) for c, w, r in zip(cells, wide, right)).rstrip()
+    return "\n".join([line(names), line(["-" * w for w in wide]), *map(line, shown)])
+
+
+#: Formats of a result for people.
+EXPORTS = {"markdown": markdown, "latex": latex, "csv": csv_text, "json": json_text, "console": console}
+
+
+def pretty_rule(text: str | None) -> str | None:
+    """A rule document indented by two blanks; as it stands where it can't be read."""
+    if text is None:
+        return None
+    try:
+        root = ElementTree.fromstring(text)
+    except ElementTree.ParseError:
+        return text
+    ElementTree.indent(root, "  ")
+    return ElementTree.tostring(root, encoding="unicode")
+
+
+def write_rules(df: DataFrame, path: str, column: str, mode: str = "overwrite", pretty: bool = False) -> None:
+    """Rule documents, one a line; with ``pretty`` indented over several lines, an empty one between."""
+    if pretty:
+        indented = F.pandas_udf(lambda texts: texts.map(pretty_rule), "string")
+        df.select(indented(column).alias("value")).filter("value is not null").write.mode(mode).option("lineSep", "\n\n").text(path)
+    else:
+        df.select(F.regexp_replace(column, r"\s*\n\s*", " ").alias("value")).write.mode(mode).text(path)
