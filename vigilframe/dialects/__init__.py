@@ -48,14 +48,18 @@ def translate(q: Query) -> dict[str, str]:
 
 
 def render_column(document: Column) -> Column:
-    """map(platform -> query) of query documents (JSON text); null where a document is no query.  Equal documents of a batch are rendered once."""
+    """map(platform -> query) of query documents (JSON text); null where a document is no query.  Equal documents are rendered once by a worker."""
     names = sorted(dialects())
 
     @F.pandas_udf("map<string,string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict = {}
         for batch in batches:
-            known: dict = {}
+            if len(known) > 100_000:
+                known.clear()
             for text in batch.unique():
+                if text in known:
+                    continue
                 held = read(text)
                 try:
                     known[text] = {n: t for n, t in translate(parse(_named(held))).items() if n in names} if isinstance(held, dict) else None

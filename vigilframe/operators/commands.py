@@ -12,15 +12,19 @@ from vigilframe.functions.times import epoch_micros
 from vigilframe.operators.ordering import number_rows, running
 
 
-def dedup(df: DataFrame, keys: list[str], order: list[Column], keep: int = 1) -> DataFrame:
-    """The first ``keep`` rows of each key in the given order."""
-    if keep == 1:
+def dedup(df: DataFrame, keys: list[str], order: list[Column | str], keep: int = 1) -> DataFrame:
+    """The first ``keep`` rows of each key in the given order: columns, or names, those with a ``-`` before them falling."""
+    named = all(isinstance(c, str) for c in order)
+    falling = {c.startswith("-") for c in order if isinstance(c, str)}
+    if keep == 1 and (not named or len(falling) < 2):
         # an aggregate combines before the shuffle, a window would not
         names = df.columns
-        first = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_r"))
-        return first.select(*(F.col("_r")[n].alias(n) for n in names))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= keep).drop("_n")
+        first = F.max_by if True in falling else F.min_by
+        by = F.struct(*(c.lstrip("-") if isinstance(c, str) else c for c in order))
+        rows = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(first(F.struct(*names), by).alias("_r"))
+        return rows.select(*(F.col("_r")[n].alias(n) for n in names))
+    sorts = [c if not isinstance(c, str) else F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*sorts))).filter(F.col("_n") <= keep).drop("_n")
 
 
 def top(df: DataFrame, fields: list[str], n: int = 10, rare: bool = False) -> DataFrame:
