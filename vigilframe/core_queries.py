@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilframe.durable import spread
+from vigilframe.score_sql import SEMANTIC_SCORES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -386,7 +387,7 @@ def query_ngrams(spark: SparkSession, d: str) -> DataFrame:
 # Evaluation of generated queries
 
 
-@query("semantic_scores")
+@query("semantic_scores", SEMANTIC_SCORES)
 def semantic_scores(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.functions.scores import score_pairs
 
