@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vigilframe.core_queries import query, table
+from vigilframe.dialects import gates
 from vigilframe.dialects.running import Tables, run
 
 TEXTS = {
@@ -62,3 +66,63 @@ def _register(name: str) -> None:
 
 for _name in TEXTS:
     _register(_name)
+
+
+def _heads(q: str) -> str:
+    return f"list_transform(string_split(lower({q}), '|')[2:], lambda s: regexp_extract(s, '^\\s*(\\S+)', 1))"
+
+
+def _words(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _strange(words: list[str], blank: bool) -> str:
+    return f"len(list_filter({_heads('q')}, lambda h: NOT list_contains({_words(words)}, h){' AND h <> ' + repr('') if blank else ''})) > 0"
+
+
+_AQL_SQL = [("missing_keyword", "NOT starts_with(upper(q), 'SELECT')"), ("missing_keyword", "NOT (contains(upper(q), 'FROM EVENTS') OR contains(upper(q), 'FROM FLOWS') OR contains(upper(q), 'FROM ASSETS'))"), ("missing_aggregate", "contains(upper(q), 'GROUP BY') AND NOT regexp_matches(upper(q), '(COUNT|SUM|AVG|MIN|MAX)\\(')")]
+_WORD = "regexp_extract(lower(q), '^(\\S+)', 1)"
+_NO_KIND = f"NOT list_contains({_words([*gates.CATEGORIES, 'sequence'])}, {_WORD}) AND NOT contains(q, ':') AND q <> '*'"
+_SEQUENCE = ("malformed_syntax", f"{_WORD} = 'sequence' AND NOT (contains(q, '[') AND contains(q, ']'))")
+GATE_SQL = {
+    "splunk": [("missing_keyword", "NOT regexp_matches(lower(q), '^(index=|search|\\*)')"), ("unknown_command", _strange(gates.GATE_COMMANDS, True))],
+    "qradar": [*_AQL_SQL, ("malformed_syntax", "contains(upper(q), 'HAVING') AND NOT contains(upper(q), 'GROUP BY')")],
+    "elastic": [("missing_keyword", f"list_contains({_words(gates.CATEGORIES[:-1])}, {_WORD}) AND NOT contains(lower(q), 'where')"), _SEQUENCE, ("malformed_syntax", _NO_KIND + " AND NOT regexp_matches(lower(q), '\\b\\w+\\s*(>|>=|<|<=)\\s*\\d+')")],
+    "sentinel": [("malformed_syntax", "NOT contains(q, '|')"), ("unknown_command", _strange(gates.GATE_OPERATORS, True))],
+}
+OWN_SQL = {
+    "splunk": [GATE_SQL["splunk"][0], ("unknown_command", _strange(gates.OWN_COMMANDS, False))],
+    "qradar": [_AQL_SQL[0], ("missing_keyword", "NOT (contains(upper(q), 'FROM EVENTS') OR contains(upper(q), 'FROM FLOWS'))"), _AQL_SQL[2]],
+    "elastic": [_SEQUENCE, ("missing_keyword", f"list_contains({_words(gates.CATEGORIES)}, {_WORD}) AND NOT contains(lower(q), 'where')"), ("unknown_command", f"list_contains({_words(gates.CATEGORIES)}, {_WORD}) AND {_strange(gates.OWN_PIPES, True)}"), ("malformed_syntax", _NO_KIND + " AND NOT regexp_matches(lower(q), '\\b\\w[\\w.]+\\s*(>=|<=|>|<)\\s*\\d')")],
+    "sentinel": [GATE_SQL["sentinel"][0], ("unknown_command", _strange(gates.OWN_OPERATORS, False))],
+}
+_TRIMMED = "regexp_replace(coalesce({}, ''), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
+
+
+def _case(findings: list[tuple[str, str]]) -> str:
+    return "CASE WHEN q = '' THEN 'empty_query' " + " ".join(f"WHEN {holds} THEN '{error}'" for error, holds in findings) + " END"
+
+
+_GATE = "WITH t AS (SELECT record_id, platform, " + _TRIMMED.format("hypothesis") + " AS q FROM ablation) SELECT record_id, CASE platform " + " ".join(f"WHEN '{p}' THEN {_case(f)}" for p, f in GATE_SQL.items()) + " END AS error_type FROM t WHERE platform IN ('splunk', 'qradar', 'elastic', 'sentinel')"
+_OWN = "WITH t AS (SELECT record_id, platform, " + _TRIMMED.format("CASE WHEN platform = 'elastic' THEN array_to_string(list_filter(string_split(hypothesis, chr(10)), lambda s: NOT starts_with(ltrim(s), '//')), chr(10)) ELSE hypothesis END") + " AS q FROM ablation) SELECT record_id, CASE platform " + " ".join(f"WHEN '{p}' THEN {_case(f)} IS NULL" for p, f in OWN_SQL.items()) + " END AS valid FROM t WHERE platform IN ('splunk', 'qradar', 'elastic', 'sentinel')"
+
+
+def _by_platform(spark: SparkSession, d: str, make, platforms=tuple(GATE_SQL)) -> DataFrame:
+    rows = table(spark, d, "ablation").select("record_id", "platform", "hypothesis")
+    parts = [rows.filter(F.col("platform") == p).select("record_id", make(p)) for p in platforms]
+    return functools.reduce(DataFrame.union, parts)
+
+
+@query("gate_checks", _GATE)
+def gate_checks(spark: SparkSession, d: str) -> DataFrame:
+    return _by_platform(spark, d, lambda p: gates.gate(p, F.col("hypothesis"))["error_type"].alias("error_type"))
+
+
+@query("own_checks", _OWN)
+def own_checks(spark: SparkSession, d: str) -> DataFrame:
+    return _by_platform(spark, d, lambda p: gates.own_check(p, F.col("hypothesis")).alias("valid"))
+
+
+@query("gate_check_rules")
+def gate_check_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _by_platform(spark, d, lambda p: gates.gate(p, F.col("hypothesis")).alias("g"), ("wazuh",)).select("record_id", "g.*")
