@@ -48,7 +48,12 @@ def two_step_sequence(first: DataFrame, second: DataFrame, key: str, time: str,
 
 
 class SequenceProcessor(StatefulProcessor):
-    """Longest chains of steps per key: for each step the newest time at which the steps up to it were met."""
+    """Longest chains of steps per key: for each step the times at which the steps up to it were met.
+
+    Events of a batch are taken in time order; one that comes in a later batch, though before others already
+    taken, still continues chains that are open at its time.  What no event after the watermark can continue is dropped, by a timer
+    also for keys without further events.
+    """
 
     def __init__(self, gaps: list[int]) -> None:
         self.gaps = gaps  # seconds between a step and the one before; the first is unused
@@ -57,29 +62,47 @@ class SequenceProcessor(StatefulProcessor):
         self.handle = handle
         self.met = handle.getListState("met", "step int, first timestamp, last timestamp")
 
+    def _ends(self, chain: tuple) -> pd.Timestamp:
+        return chain[2] + pd.Timedelta(seconds=self.gaps[chain[0]])
+
+    def _keep(self, chains: set[tuple], timer_values) -> None:
+        watermark = pd.Timestamp(timer_values.getCurrentWatermarkInMs(), unit="ms")
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        left = sorted(c for c in chains if self._ends(c) >= watermark)
+        if left:
+            self.met.put(left)
+            self.handle.registerTimer(int(max(map(self._ends, left)).timestamp() * 1000) + 1)
+        else:
+            self.met.clear()
+
+    def _open(self) -> set[tuple]:
+        return {(s, pd.Timestamp(f), pd.Timestamp(x)) for s, f, x in self.met.get()} if self.met.exists() else set()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        open_ = [tuple(r) for r in self.met.get()] if self.met.exists() else []
-        found = []
+        open_, found = self._open(), []
         events = pd.concat(list(rows)).sort_values(["at", "step"])
+        by_step: dict[int, set[tuple]] = {}
+        for c in open_:
+            by_step.setdefault(c[0], set()).add(c)
         for step, at in zip(events["step"], events["at"]):
             if step == 1:
-                open_.append((1, at, at))
-            else:
-                gap = pd.Timedelta(seconds=self.gaps[step - 1])
-                reached = [(s, f, x) for s, f, x in open_ if s == step - 1 and x < at <= x + gap]
-                for _, f, _ in reached:
+                by_step.setdefault(1, set()).add((1, at, at))
+                continue
+            # chains of one step lower only; equal ones are one
+            for chain in sorted(by_step.get(step - 1, ())):
+                if chain[2] < at <= self._ends(chain):
                     if step == len(self.gaps):
-                        found.append((key[0], f, at))
+                        found.append((key[0], chain[1], at))
                     else:
-                        open_.append((step, f, at))
-            # what can't go on any more is dropped, so the state holds at most the events within the gaps
-            open_ = [(s, f, x) for s, f, x in open_ if s < len(self.gaps) and at <= x + pd.Timedelta(seconds=self.gaps[s])]
-        if open_:
-            self.met.put(open_)
-        else:
-            self.met.clear()
+                        by_step.setdefault(step, set()).add((step, chain[1], at))
+        self._keep({c for s, own in by_step.items() if s < len(self.gaps) for c in own}, timerValues)
         yield pd.DataFrame(found, columns=["key", "started", "ended"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep(self._open(), timerValues)
+        yield pd.DataFrame([], columns=["key", "started", "ended"])
+
     def close(self) -> None:
         pass
 
@@ -87,4 +110,4 @@ class SequenceProcessor(StatefulProcessor):
 def stateful_sequence(steps: DataFrame, gaps: list[str], late: str = "10 minutes") -> DataFrame:
     """Chains over any number of steps; ``steps`` has key string, step int (from 1) and at timestamp."""
     processor = SequenceProcessor([0, *map(seconds, gaps)])
-    return steps.withWatermark("at", late).groupBy("key").transformWithStateInPandas(processor, "key string, started timestamp, ended timestamp", "Append", "None")
+    return steps.withWatermark("at", late).groupBy("key").transformWithStateInPandas(processor, "key string, started timestamp, ended timestamp", "Append", "EventTime")
