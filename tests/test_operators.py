@@ -187,3 +187,39 @@ def test_streams(spark, tmp_path):
     assert {(r.user, r.events) for r in run(session_counts(stream(), "user", "at", "30 minutes"), "w2")} == {("u1", 4), ("u1", 1)}
     pairs = run(two_step_sequence(stream().filter("kind = 'error'"), stream().filter("kind = 'purchase'"), "user", "at", "30m"), "w3")
     assert len(pairs) == 3 and {r.key for r in pairs} == {"u1"}
+
+
+def test_released_checkpoints_are_gone(spark):
+    from vigilframe.durable import cut, release
+
+    kept, gone = cut(spark.range(10)), cut(spark.range(20))
+    file = lambda df: df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    at = [file(df).removeprefix("file:") for df in (kept, gone)]
+    import os
+
+    assert all(map(os.path.isdir, at))
+    release(gone)
+    assert os.path.isdir(at[0]) and not os.path.exists(at[1]) and kept.count() == 10
+
+
+def test_nearest_of_every_part(spark, monkeypatch):
+    import numpy as np
+
+    from vigilframe.operators import vectors as V
+
+    rng = np.random.default_rng(1)
+    rows = [(i, None if i % 5 == 0 else f"p{i % 3}", None if i == 7 else [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, part string, embedding array<double>")
+    queries = df.filter("vec_id % 10 = 0").selectExpr("vec_id query_id", "embedding query")
+    of = {i: np.array(v) for i, _, v in rows if v}
+    want = set()
+    for q in range(0, 60, 10):
+        for p in (None, "p0", "p1", "p2"):
+            own = sorted((i for i, g, v in rows if g == p and v), key=lambda i: (-float(of[i] @ of[q]), i))
+            want |= {(q, p, i, k + 1) for k, i in enumerate(own[:2])}
+    got = lambda: {(r.query_id, r.part, r.vec_id, r["rank"]) for r in V.top_k_per(df, queries, 2, "part").collect()}
+    assert got() == want
+    monkeypatch.setattr(V, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 13)
+    assert got() == want
+    assert V.top_k_per(df, queries.filter("query_id < 0"), 2, "part").count() == 0

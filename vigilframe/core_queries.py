@@ -329,23 +329,22 @@ def vector_mmr(spark: SparkSession, d: str) -> DataFrame:
     return mmr(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)
 
 
-@query("vector_top_k_per_label", "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 1), s AS (SELECT label, vec_id, round(list_sum(list_transform(generate_series(1, len(embedding)), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(q[i] AS DOUBLE))), 9) AS score FROM embeddings, q) SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 3")
+@query("vector_top_k_per_label", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, label, vec_id, round(list_sum(list_transform(generate_series(1, len(embedding)), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(q[i] AS DOUBLE))), 9) AS score FROM embeddings, q) SELECT query_id, label, vec_id, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 3")
 def vector_top_k_per_label(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.operators.vectors import top_k_per
 
     v = table(spark, d, "embeddings")
-    one = v.filter("vec_id = 1").select("embedding").first()
-    return top_k_per(v, [float(x) for x in one[0]] if one and one[0] else [], 3, "label").select("label", "vec_id", "rank")
+    return top_k_per(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 3, "label").select("query_id", "label", "vec_id", "rank")
 
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^0-9A-Za-z_]+'), lambda w: w <> ''))"
 
 
-@query("keyword_search", f"WITH s AS (SELECT entry_id, technique_id, CASE WHEN contains(lower(name), 'print queue') THEN 10 ELSE 0 END + 3 * len(list_intersect({_WORDS.format('name')}, ['print', 'queue'])) + len(list_intersect({_WORDS.format('description')}, ['print', 'queue'])) AS score FROM technique_entries) SELECT score FROM s WHERE score > 0 ORDER BY score DESC LIMIT 10")
+@query("keyword_search", f"WITH s AS (SELECT entry_id, technique_id, CASE WHEN contains(lower(name), 'print queue') THEN 10 ELSE 0 END + 3 * len(list_intersect({_WORDS.format('name')}, ['print', 'queue'])) + len(list_intersect({_WORDS.format('description')}, ['print', 'queue'])) AS score FROM technique_entries) SELECT technique_id, score FROM s WHERE score > 0 ORDER BY score DESC, technique_id NULLS FIRST LIMIT 10")
 def keyword_search_(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.functions.text import keyword_search
 
-    return keyword_search(table(spark, d, "technique_entries"), "print queue").select(F.col("score").cast("long").alias("score"))
+    return keyword_search(table(spark, d, "technique_entries"), "print queue").select("technique_id", F.col("score").cast("long").alias("score"))
 
 
 # Texts

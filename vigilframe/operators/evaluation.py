@@ -42,12 +42,14 @@ def coverage(rules: DataFrame, taxonomy: DataFrame) -> DataFrame:
     parents = taxonomy.filter(~F.coalesce("is_subtechnique", F.lit(False))).select(F.col("technique_id").alias("covered")).distinct()
     ids = technique_ids(rules, taxonomy)
     stacked = ids.filter(F.col("platform").isin(*PLATFORMS)).union(ids.withColumn("platform", F.lit("all")))
-    hit = stacked.join(parents, "covered").groupBy("platform").agg(F.count_distinct("covered").alias("covered_parents"))
-    every = stacked.groupBy("platform").agg(F.count_distinct("covered").alias("covered"), F.count_distinct("id").alias("rules"))
+    # each (platform, technique) and (platform, rule) once, then plain counts
+    techniques = stacked.groupBy("platform", "covered").agg(F.count(F.lit(1)).alias("_n")).join(parents.withColumn("_parent", F.lit(1)), "covered", "left")
+    hit = techniques.groupBy("platform").agg(F.count(F.lit(1)).alias("covered"), F.count("_parent").alias("covered_parents"))
+    every = stacked.groupBy("platform", "id").agg(F.count(F.lit(1)).alias("_n")).groupBy("platform").agg(F.count(F.lit(1)).alias("rules"))
     total = parents.agg(F.count(F.lit(1))).scalar()
     platforms = rules.sparkSession.createDataFrame([(p,) for p in (*PLATFORMS, "all")], "platform string")
-    joined = platforms.join(every, "platform", "left").join(hit, "platform", "left").fillna(0)
-    return joined.withColumn("percent", F.round(F.col("covered_parents") * 100.0 / F.greatest(total, F.lit(1)), 2))
+    joined = platforms.join(hit, "platform", "left").join(every, "platform", "left").fillna(0)
+    return joined.select("platform", "covered", "rules", "covered_parents").withColumn("percent", F.round(F.col("covered_parents") * 100.0 / F.greatest(total, F.lit(1)), 2))
 
 
 def coverage_gaps(rules: DataFrame, taxonomy: DataFrame) -> DataFrame:

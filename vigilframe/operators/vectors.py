@@ -38,9 +38,10 @@ def _best(ids: np.ndarray, matrix: np.ndarray, keys: np.ndarray, vectors: np.nda
     return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query", where: Column | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query", where: Column | None = None, part: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` nearest vectors of each query by inner product, equal scores by id.
 
+    With ``part``, a column of the vectors, the nearest of every part; the part is a column of the result.
     Null vectors and queries take no part.  ``where`` filters first, so that ``k`` hits remain.  Up to QUERY_BLOCK queries are sent to the workers, where every batch
     keeps its best ``k``.  More queries are cut into blocks, as are the vectors; every pair of blocks is a group of its
     own, so neither side is ever whole in one place.  The best of the kept rows are ranked.
@@ -48,8 +49,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     base = vectors.filter(F.col(vector).isNotNull()) if where is None else vectors.filter(where & F.col(vector).isNotNull())
     queries = queries.filter(F.col(query_vector).isNotNull())
     q_type, v_type = queries.schema[query_id].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
-    schema = f"`{query_id}` {q_type}, `{id_col}` {v_type}, score double"
-    names = [query_id, id_col, "score"]
+    kept = [part] if part else []
+    schema = f"`{query_id}` {q_type}, " + "".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}, " for c in kept) + f"`{id_col}` {v_type}, score double"
+    names = [query_id, *kept, id_col, "score"]
+
+    def best_of(ids: np.ndarray, matrix: np.ndarray, frame: pd.DataFrame, key: str, at: str) -> pd.DataFrame:
+        found = []
+        for value, own in frame.groupby(part, dropna=False, sort=False) if part else [(None, frame)]:
+            one = dict(zip((query_id, id_col, "score"), _best(ids, matrix, own[key].to_numpy(), np.stack(own[at].to_numpy()).astype(np.float64), k)))
+            if part:
+                one[part] = [None if pd.isna(value) else value] * len(one["score"])
+            found.append(pd.DataFrame(one)[names])
+        return pd.concat(found)
+
     head = queries.select(query_id, query_vector).limit(QUERY_BLOCK + 1).collect()
     if len(head) <= QUERY_BLOCK:
         ids = np.array([r[0] for r in head])
@@ -58,34 +70,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
         def batchwise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch) and len(ids):
-                    yield pd.DataFrame(dict(zip(names, _best(ids, matrix, batch[id_col].to_numpy(), np.stack(batch[vector].to_numpy()).astype(np.float64), k))))
+                    yield best_of(ids, matrix, batch, id_col, vector)
 
-        found = base.select(id_col, vector).mapInPandas(batchwise, schema)
+        found = base.select(*kept, id_col, vector).mapInPandas(batchwise, schema)
     else:
         blocks = int(np.ceil(queries.count() / QUERY_BLOCK))
         parts = max(1, int(np.ceil(base.count() / VECTOR_BLOCK)))
         part_of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
         left = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_v"), part_of(query_id, blocks).alias("_a")).withColumn("_b", every(parts))
-        right = base.select(F.col(id_col).alias("_i"), F.col(vector).alias("_v"), part_of(id_col, parts).alias("_b")).withColumn("_a", every(blocks))
+        right = base.select(*kept, F.col(id_col).alias("_i"), F.col(vector).alias("_v"), part_of(id_col, parts).alias("_b")).withColumn("_a", every(blocks))
 
         def pairwise(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({n: [] for n in names})
-            return pd.DataFrame(dict(zip(names, _best(a["_q"].to_numpy(), np.stack(a["_v"].to_numpy()).astype(np.float64), b["_i"].to_numpy(), np.stack(b["_v"].to_numpy()).astype(np.float64), k))))
+            return best_of(a["_q"].to_numpy(), np.stack(a["_v"].to_numpy()).astype(np.float64), b, "_i", "_v")
 
         found = left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(pairwise, schema)
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)
+    w = Window.partitionBy(query_id, *kept).orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def top_k_per(vectors: DataFrame, query: list[float], k: int, part: str, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The ``k`` nearest vectors in every part; without a query vector, or for null vectors, there are none."""
-    if not query:
-        return vectors.limit(0).select(part, id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    scored = vectors.filter(F.col(vector).isNotNull()).withColumn("score", F.round(dot(F.col(vector), F.lit(query)), 9))
-    w = Window.partitionBy(part).orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(part, id_col, "score", "rank")
+def top_k_per(vectors: DataFrame, queries: DataFrame, k: int, part: str, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
+    """The ``k`` nearest vectors of each query in every part."""
+    return top_k(vectors, queries, k, id_col, vector, query_id, query_vector, part=part)
 
 
 def mmr(vectors: DataFrame, queries: DataFrame, k: int, fetch: int = 20, balance: float = 0.5, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query") -> DataFrame:
