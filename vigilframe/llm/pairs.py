@@ -14,6 +14,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -193,9 +194,11 @@ def _stage_features(text: str, state: str, last: bool, beginnings: frozenset[str
     return dict.fromkeys(told, 1.0)
 
 
-def _prose_features(text: str, comment: bool, echo: float) -> Weighed:
+@lru_cache(maxsize=50_000)
+def _word_features(text: str) -> tuple[tuple[str, float], ...]:
+    """Words, pairs of words and trigrams, each group of length one; script and accents."""
     words = [w.lower() for w in _WORD.findall(text.replace("’", "'"))]
-    out: Weighed = {"prose": 1.0, "comment" if comment else "bare": 1.0}
+    out: Weighed = {}
 
     def group(kind: str, found: list[str]) -> None:
         for f in found:
@@ -211,6 +214,11 @@ def _prose_features(text: str, comment: bool, echo: float) -> Weighed:
         out["script"] = 2.0
     if _ACCENT.search(text):
         out["accent"] = 1.0
+    return tuple(out.items())
+
+
+def _prose_features(text: str, comment: bool, echo: float) -> Weighed:
+    out: Weighed = {"prose": 1.0, "comment" if comment else "bare": 1.0, **dict(_word_features(text))}
     for level in (0.5, 0.7, 0.85):
         if echo >= level:
             out[f"echo:{level}"] = 1.0
@@ -241,7 +249,7 @@ class ChainField:
         self.names, self.weights, self.steps = names, weights, steps
 
     @classmethod
-    def train(cls, examples: list[Example], rounds: int = 60, rate: float = 0.4, penalty: float = 3e-5) -> "ChainField":
+    def train(cls, examples: list[Example], rounds: int = 36, rate: float = 0.5, penalty: float = 3e-5) -> "ChainField":
         """Maximises the likelihood by adaptive gradient steps over all (equal ones counted) examples.  Features of a single example are left out."""
         n = len(TAGS)
         counted: dict[tuple, int] = {}
@@ -257,26 +265,29 @@ class ChainField:
         names = {name: k for k, name in enumerate(sorted(x for x, c in seen.items() if c > 1))}
         order = sorted(kept, key=lambda key: (len(key[1]), key))
         total = max(1, len(examples))
-        flat, value, length, tag, share, sizes = [], [], [], [], [], []
+        # equal clauses are scored once
+        flat, value, length, tag, share, sizes, clause = [], [], [], [], [], [], []
+        known: dict[tuple, int] = {}
         for key in order:
             fs, ys = kept[key]
             sizes.append(len(ys))
-            for f, y in zip(fs, ys):
-                on = [(names[x], v) for x, v in f.items() if x in names]
-                flat += [x for x, _ in on]
-                value += [v for _, v in on]
-                length.append(len(on))
+            for f, own, y in zip(fs, key[0], ys):
+                if own not in known:
+                    known[own] = len(known)
+                    on = [(names[x], v) for x, v in f.items() if x in names]
+                    flat += [x for x, _ in on]
+                    value += [v for _, v in on]
+                    length.append(len(on))
+                clause.append(known[own])
                 tag.append(y)
                 share.append(counted[key] / total)
-        flat, value, length, tag, share = np.array(flat, np.int64), np.array(value), np.array(length), np.array(tag, np.int64), np.array(share)
+        flat, value, length, tag, share, clause = np.array(flat, np.int64), np.array(value), np.array(length), np.array(tag, np.int64), np.array(share), np.array(clause)
         row = np.repeat(np.arange(len(length)), length)
         w, t = np.zeros((len(names), n)), np.zeros((n, n))
         gw2, gt2 = np.full(w.shape, 1e-6), np.full(t.shape, 1e-6)
         sizes = np.array(sizes)
         for _ in range(rounds):
-            score = np.zeros((len(length), n))
-            for y in range(n):
-                score[:, y] = np.bincount(row, weights=w[flat, y] * value, minlength=len(length))
+            score = np.stack([np.bincount(row, weights=w[flat, y] * value, minlength=len(length)) for y in range(n)], 1)[clause]
             delta, gt, at = np.zeros_like(score), -penalty * t, 0
             for size in np.unique(sizes):
                 many = int((sizes == size).sum())
@@ -290,6 +301,7 @@ class ChainField:
                 if size > 1:
                     gt -= (pair * c[:, 0, None, None]).sum(0)
                     np.add.at(gt, (ys[:, :-1].ravel(), ys[:, 1:].ravel()), np.repeat(c[:, 0], size - 1))
+            delta = np.stack([np.bincount(clause, weights=delta[:, y], minlength=len(length)) for y in range(n)], 1)
             gw = np.stack([np.bincount(flat, weights=delta[row, y] * value, minlength=len(names)) for y in range(n)], 1) - penalty * w
             gw2 += gw**2
             gt2 += gt**2
