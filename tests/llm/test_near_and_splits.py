@@ -215,3 +215,33 @@ def test_linking_pairs_of_a_hot_value(spark, monkeypatch):
     got = [tuple(r) for r in linking_pairs(df, "id", F.col("q"), F.col("f")).collect()]
     want = [(a, b) for (a, p, f), (b, q, g) in combinations(rows, 2) if p == q and f != g]
     assert len(set(got)) == len(want) and set(got) == set(want)
+
+
+def test_linking_pairs_come_from_components_and_splits(spark, monkeypatch):
+    # a ring of families, too long for one step and without leaves; questions of one family; rows that stand at a question
+    rows = [(2 * i + k, f"q{i}", f"f{(i + k) % 30}") for i in range(30) for k in range(2)] + [(100 + i, f"own{i // 2}", "f0") for i in range(20)] + [(200, "q3", None), (201, None, "f9"), (202, None, None)]
+    df = spark.createDataFrame(rows, "id long, q string, f string")
+    targets = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "split string, share double")
+    want = {(a, b) for (a, p, f), (b, q, g) in combinations(rows, 2) if p and p == q and f and g and f != g}
+    found = lambda t=None: sorted(tuple(r) for r in linking_pairs(df, "id", F.col("q"), F.col("f"), t).collect())
+    assert len(want) == 30 and found() == found(targets) == found(targets.withColumn("share", -F.col("share"))) == sorted(want)
+    whole = connected_components
+    # the first step alone doesn't bring the ring together; without its links nothing is paired
+    monkeypatch.setattr("vigilframe.llm.splits._stars", lambda pairs: pairs)
+    assert len(found(targets)) < 30
+    monkeypatch.undo()
+    monkeypatch.setattr("vigilframe.llm.splits.connected_components", lambda edges: whole(edges.limit(0)))
+    assert found(targets) == []
+
+
+def test_p2_found_runs_components_and_splits(spark, small, monkeypatch):
+    from vigilframe.llm import queries, splits
+
+    ran = []
+    for name in ("_stars", "connected_components", "assign_splits"):
+        monkeypatch.setattr(splits, name, lambda *a, _f=getattr(splits, name), _n=name: ran.append(_n) or _f(*a))
+    got = {tuple(r) for r in queries.p2_found(spark, small).collect()}
+    assert ran == ["connected_components", "_stars", "assign_splits"]
+    monkeypatch.undo()
+    split = {r.ex_id: (r.component, r.split) for r in queries.p2_splits(spark, small).collect()}
+    assert got and all(split[a] == split[b] for a, b in got)

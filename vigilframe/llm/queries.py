@@ -62,7 +62,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from vigilframe.llm.splits import linking_pairs
 
     examples = table(spark, d, "examples")
-    return linking_pairs(examples, "ex_id", question(F.col("nl_query")), family(F.col("technique_id")))
+    return linking_pairs(examples, "ex_id", question(F.col("nl_query")), family(F.col("technique_id")), table(spark, d, "split_targets"))
 
 
 @query("p2_splits")

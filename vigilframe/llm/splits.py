@@ -80,11 +80,11 @@ def _stars(pairs: DataFrame) -> DataFrame:
         release(last)
 
 
-def _standing(df: DataFrame, id_col: str, entities: dict[str, Column]) -> DataFrame:
-    """_id, node - the first entity of the row - and _others, all its other entities."""
+def _standing(df: DataFrame, id_col: str, entities: dict[str, Column], *more: Column) -> DataFrame:
+    """_id, node - the first entity of the row - and _others, all its other entities; then the columns ``more`` (named)."""
     keys = [entity_key(k, v) for k, v in entities.items()]
-    rows = df.select(F.col(id_col).alias("_id"), F.array_compact(F.array(*keys)).alias("_e"))
-    return rows.select("_id", F.get("_e", F.lit(0)).alias("node"), F.slice("_e", 2, max(len(keys) - 1, 1)).alias("_others"))
+    rows = df.select(F.col(id_col).alias("_id"), F.array_compact(F.array(*keys)).alias("_e"), *more)
+    return rows.select("_id", F.get("_e", F.lit(0)).alias("node"), F.slice("_e", 2, max(len(keys) - 1, 1)).alias("_others"), *rows.columns[2:])
 
 
 def _met(standing: DataFrame) -> DataFrame:
@@ -109,31 +109,40 @@ def entity_components(df: DataFrame, id_col: str, entities: dict[str, Column]) -
     entities: kind -> value, null where a row has none.  A row without entities is alone; its component
     comes from its id (rows repeated with the same id then stay together).  Extra columns aren't read.
     """
-    standing = cut(_standing(df, id_col, entities))
+    return _placed(cut(_standing(df, id_col, entities))).select(F.col("_id").alias(id_col), "component")
+
+
+def _placed(standing: DataFrame) -> DataFrame:
+    """``standing`` with the component of every row."""
     parts = connected_components(link_edges(standing))
     alone = F.xxhash64(F.lit("alone"), F.col("_id"))
-    joined = standing.select("_id", "node").join(parts, "node", "left")
-    return joined.select(F.col("_id").alias(id_col), F.coalesce("component", "node", alone).alias("component"))
+    return standing.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node", alone))
 
 
-def linking_pairs(df: DataFrame, id_col: str, shared: Column, family: Column) -> DataFrame:
+def linking_pairs(df: DataFrame, id_col: str, shared: Column, family: Column, targets: DataFrame | None = None) -> DataFrame:
     """(id_a, id_b), smaller first: rows with one value of ``shared`` and different, known families - the links through which families come into one component.
 
-    The pairs are the link edges of the first large-star step, spelt out row by row; the later steps only
-    spread these links and add none.  Values with many rows are paired in blocks of their own.  The value is
-    compared by two hashes (96 bits).  Rows where either is null give no pairs.  A row repeated with the same id
-    is not paired with itself.
+    All rows get their component and, with ``targets``, their split, as ``entity_components`` and ``assign_splits``
+    give them for the entities ``family`` and ``question``; rows are paired within one component and one split only.
+    Values with many rows are paired in blocks of their own.  The value is compared by two hashes (96 bits).  Rows
+    where either is null give no pairs.  A row repeated with the same id is not paired with itself.
     """
-    keyed = df.select(F.col(id_col).alias("_id"), entity_key("family", family).alias("_f"), shared.alias("_v"))
-    rows = cut(keyed.filter("_f is not null and _v is not null").select("_id", "_f", entity_key("shared", F.col("_v")).alias("_k"), F.hash("_v").alias("_h")))
+    standing = cut(_standing(df, id_col, {"family": family, "question": shared}, F.hash(shared).alias("_h")))
+    # Of a row with both entities the family is the first.
+    members = cut(_placed(standing).select("_id", "component", F.col("node").alias("_f"), F.get("_others", F.lit(0)).alias("_k"), "_h"))
+    release(standing)
+    members = members.withColumn("split", F.lit(None).cast("string")) if targets is None else assign_splits(members, targets)
+    # Without a positive share every split is null.
+    rows = members.filter("_k is not null").withColumn("split", F.coalesce("split", F.lit("")))
     links = star_centres(rows.select(F.col("_f").alias("node"), F.col("_k").alias("via")))
     meant = cut(rows.join(links.select(F.col("via").alias("_k")), "_k"))
     blocks = meant.groupBy("_k").agg(F.ceil(F.count("*") / F.lit(PAIR_BLOCK)).alias("_n"))
     dealt = meant.join(blocks, "_k")
     a = dealt.withColumn("_s", F.pmod(F.xxhash64("_id"), F.col("_n")))
     b = dealt.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    a, b = (x.select("_k", "_h", "_s", F.col("_id").alias(f"_id_{s}"), F.col("_f").alias(f"_f_{s}")) for x, s in ((a, "a"), (b, "b")))
-    pairs = a.join(b, ["_k", "_h", "_s"]).filter("_id_a < _id_b and _f_a <> _f_b")
+    alike = ["_k", "_h", "_s", "component", "split"]
+    a, b = (x.select(*alike, F.col("_id").alias(f"_id_{s}"), F.col("_f").alias(f"_f_{s}")) for x, s in ((a, "a"), (b, "b")))
+    pairs = a.join(b, alike).filter("_id_a < _id_b and _f_a <> _f_b")
     return pairs.select(F.col("_id_a").alias(f"{id_col}_a"), F.col("_id_b").alias(f"{id_col}_b"))
 
 
@@ -149,7 +158,8 @@ def assign_splits(members: DataFrame, targets: DataFrame, seed: int = 7) -> Data
     shares = {r.split: max(r.share or 0.0, 0.0) for r in targets.filter("split is not null").groupBy("split").agg(F.max("share").alias("share")).orderBy("split").collect()}
     if sum(shares.values()) <= 0:
         return members.withColumn("split", F.lit(None).cast("string"))
-    sizes = cut(members.groupBy("component").agg(F.count("*").alias("rows")).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(HASH_RANGES)).cast("int")))
+    slot = F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(HASH_RANGES)).cast("int")
+    sizes = cut(members.groupBy("component").agg(F.count("*").alias("rows")).withColumn("slot", slot))
     total = sizes.agg(F.sum("rows")).first()[0] or 0
     lack = {k: total * v / sum(shares.values()) for k, v in shares.items()}
     large = sizes.filter(F.col("rows") >= max(2, total * LARGE)).orderBy(F.desc("rows"), "component").collect()  # at most 1 / LARGE rows
@@ -177,6 +187,7 @@ def assign_splits(members: DataFrame, targets: DataFrame, seed: int = 7) -> Data
         at += r.rows
     by_hash = F.lit(names[k])
     for upper, name in reversed(cuts):
-        by_hash = F.when(F.col("slot") < upper, name).otherwise(by_hash)
-    chosen = sizes.join(F.broadcast(fixed), "component", "left").select("component", F.coalesce("fixed", by_hash).alias("split"))
-    return members.join(chosen, "component")
+        by_hash = F.when(slot < upper, name).otherwise(by_hash)
+    # Ranges and large components are known by now: no row is moved, however large its component.
+    placing = F.broadcast(fixed.withColumnRenamed("fixed", "_fixed"))
+    return members.join(placing, "component", "left").withColumn("split", F.coalesce("_fixed", by_hash)).drop("_fixed")
